@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, secrets, sharding
+from . import embed_dedup, packing, pieces, quality, secrets, sharding, topk
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), number("guess"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.links(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -39,6 +43,11 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_sentencepiece, op5_rendezvous_sharding, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op7_exact_topk, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
