@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, packing, pieces, quality, secrets, sharding, topk
+from . import embed_dedup, ngram_join, packing, pieces, quality, secrets, sharding, topk
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
@@ -61,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op7_exact_topk, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op7_exact_topk, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
