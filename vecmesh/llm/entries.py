@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, ngram_join, packing, pieces, quality, secrets, sharding, topk
+from . import embed_dedup, ngram_join, packing, pieces, quality, secrets, sharding, substr_dedup, topk
 
 
 def tokenizer(name: str) -> str:
@@ -47,6 +47,11 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substr_dedup.remove(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -65,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op7_exact_topk, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op6_substring_dedup, op7_exact_topk, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
