@@ -58,6 +58,34 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+class Table(dict):
+    """A table filled by make(key) on demand, in two generations of `most` rows: beyond that the older one is dropped.
+
+    Keys over `longest` characters are made where they stand and not kept, so memory is bounded whatever the input.
+    """
+
+    most, longest = 300_000, 64
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > self.longest:
+                return out
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an unsigned array."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)

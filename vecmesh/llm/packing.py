@@ -13,26 +13,44 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import Table, text_slices
 
 CAPACITY = 2048
 #: Ids that wait in a task until they are packed as one block.
 BLOCK_IDS = 2_000_000
-TABLE_ROWS = 200_000
-LONGEST_KEPT = 64
 _WORD = re.compile(r"[^ \n\t\r]+")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|-]*)")
 
 
-class WordTable(dict):
+# In byte-level vocabularies these bytes stand for themselves, the others for characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class PartTable(Table):
+    """A lower-case word of letters or a run of symbols -> its ids as bytes, straight from the tokeniser's model."""
+
+    def __init__(self, lib):
+        super().__init__()
+        self.model = lib.model
+
+    def make(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join([_BYTES[b] for b in part.encode()])
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+
+class WordTable(Table):
     """Word -> its ids as little-endian unsigned 32-bit bytes. Words end at white space, which the tokeniser drops.
 
-    Filled from the library on demand; it starts afresh beyond TABLE_ROWS words, so memory is bounded.
+    Letters with symbols behind them, the usual word, are two units of the tokeniser, each in a table of its own;
+    any other word goes through the whole tokeniser.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -40,20 +58,30 @@ class WordTable(dict):
 
         super().__init__()
         self.lib = Tokenizer.from_file(tokenizer_file)
-        apart = self.lib.encode("it is\tso\nnow", add_special_tokens=False).ids
-        if apart != [i for w in ("it", "is", "so", "now") for i in self.lib.encode(w, add_special_tokens=False).ids]:
+        self.parts = PartTable(self.lib)
+        apart = self._whole("it is\tso\nnow")
+        if apart != b"".join([self._whole(w) for w in ("it", "is", "so", "now")]):
             raise ValueError("this tokeniser doesn't drop white space")
+        self.plain = all(self._whole(w) == self._parts(_PLAIN.fullmatch(w)) for w in ("Words", "Élan,", "off.!!", "a|", "Zß***", "naïve$$$"))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _parts(self, found: re.Match) -> bytes:
+        return self.parts[found[1].lower()] + (self.parts[found[2]] if found[2] else b"")
 
-    def __missing__(self, word: str) -> bytes:
-        out = np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= TABLE_ROWS:
-                self.clear()
-            self[word] = out
-        return out
+    def make(self, word: str) -> bytes:
+        found = _PLAIN.fullmatch(word) if self.plain else None
+        return self._parts(found) if found else self._whole(word)
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in _WORD.findall(text)]) if text else b""
+        return b"".join(map(self.__getitem__, _WORD.findall(text))) if text else b""
+
+
+@cache
+def word_table(tokenizer_file: str) -> WordTable:
+    """One table for all tasks that a worker process runs."""
+    return WordTable(tokenizer_file)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -188,7 +216,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
         def pieces() -> Iterator[tuple]:
             nonlocal table, type_
             for part in text_slices(batches, text):
-                table, type_ = table or WordTable(tokenizer_file), part.schema.field(id_column).type
+                table, type_ = table or word_table(tokenizer_file), part.schema.field(id_column).type
                 for doc, value in zip(part.column(id_column).to_pylist(), part.column(text).to_pylist()):
                     yield from packer.add(doc, table.ids(value) + end)
             yield from packer.finish()

@@ -10,24 +10,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import Table, text_slices
 
 MARK = "▁"
-TABLE_ROWS = 200_000
-#: Words over this many characters are segmented where they stand and not kept.
-LONGEST_KEPT = 64
 
 
-class ChunkTable(dict):
-    """Marked word -> (ids as int32 bytes, decoded form with a space for each mark), filled from the library on demand.
-
-    The table holds TABLE_ROWS words at most and starts afresh beyond that, so memory is bounded whatever the input.
-    """
+class ChunkTable(Table):
+    """Marked word -> (ids as int32 bytes, decoded form with a space for each mark), filled from the library on demand."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -45,7 +40,7 @@ class ChunkTable(dict):
         self.line_end = "" if any("\n" in p for p in pieces) else "\n"
         self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if self.line_end else f"{MARK}+[^{MARK}]*")
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+    def make(self, chunk: str) -> tuple[bytes, str]:
         if chunk[0] == MARK:  # the library puts one mark in front itself
             ids = self.lib.encode(chunk[1:]) if len(chunk) > 1 else [self.mark_id]
         else:
@@ -53,18 +48,19 @@ class ChunkTable(dict):
             if ids[0] != self.mark_id:
                 raise ValueError("the mark joined a character that no piece holds")
             ids = ids[1:]
-        out = (np.array(ids, np.int32).tobytes(), self.lib.decode([*self.anchor, *ids])[1:])
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= TABLE_ROWS:
-                self.clear()
-            self[chunk] = out
-        return out
+        return np.array(ids, np.int32).tobytes(), self.lib.decode([*self.anchor, *ids])[1:]
 
     def chunks(self, text: str | None) -> list[str]:
         """The marked words of a text, in order; none for an empty or null one."""
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+@cache
+def chunk_table(model_file: str) -> ChunkTable:
+    """One table for all tasks that a worker process runs."""
+    return ChunkTable(model_file)
+
+
 def encode(docs: DataFrame, model_file: str, end: bool = True, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, ids array<int>, decoded string) for every row of docs: the ids, with an end id if asked, and their decoding.
 
@@ -76,7 +72,7 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, id_column: str =
         table, last = None, b""
         for part in text_slices(batches, text):
             if table is None:
-                table = ChunkTable(model_file)
+                table = chunk_table(model_file)
                 last = np.array([table.lib.eos_id()] if end else [], np.int32).tobytes()
             ids, decoded = [], []
             for value in part.column(text).to_pylist():
