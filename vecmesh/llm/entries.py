@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, ngram_join, packing, pieces, quality, secrets, sharding, substr_dedup, topk
+from . import embed_dedup, line_dedup, ngram_join, packing, pieces, quality, secrets, sharding, substr_dedup, topk
 
 
 def tokenizer(name: str) -> str:
@@ -57,6 +57,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op6_substring_dedup, op7_exact_topk, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_embedding_dedup, op4_sentencepiece, op5_rendezvous_sharding, op6_substring_dedup, op7_exact_topk, op8_line_dedup, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
