@@ -8,8 +8,8 @@ search give the common extension of two suffixes in logarithmically many steps;
 byte by byte. Least extensions between two places in the sorted orders are those of any pair, and a pair that
 agrees on `window` bytes around the anchor marks them as repeated.
 
-An anchor hash with more than GROUP distinct contexts isn't gathered: its windows' hashes are counted instead, by
-aggregations that adaptive execution may split.
+An anchor hash with more than GROUP distinct contexts isn't gathered: hashes of blocks of its windows, and of single
+windows where blocks differ, are counted instead, by aggregations that adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, text_bytes, text_slices
+from .common import mix64, stored, text_bytes, text_slices, texts_of
 from .shingles import SLICE_BYTES, powers
 from .windows import anchors, prefix_hashes, substring_hashes
 
 WINDOW = 200
 GRAM = 64
 GROUP = 256
+BLOCK = 8
 #: Contexts that a task sorts at once, whole groups together.
 SORTED = 20_000
 _CODEC = "zstd"
@@ -222,36 +223,69 @@ def _contexts(window: int):
     return run
 
 
-def _window_hashes(window: int):
-    """Over contexts: a hash for each of their windows and, for contexts that come once, where it starts."""
+def _window_blocks(window: int):
+    """Over contexts: their windows in blocks of BLOCK by distance before the anchor, `low` to `low` + size - 1.
+
+    hashes are those of the windows, core that of the bytes which any window of the block holds. row is null for
+    contexts that come twice, as their windows are removed already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
                 left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
-                texts = [a + b for a, b in zip(left, right)]
-                sizes = np.array([len(t) for t in texts], np.int64)
-                counts = sizes - window + 1
-                which = np.repeat(np.arange(len(texts)), counts)
-                inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = (np.cumsum(sizes) - sizes)[which] + inner
-                hashes = substring_hashes(prefix_hashes(np.frombuffer(b"".join(texts), np.uint8)), start, start + window)
-                origin = part.column("anchor").to_numpy().astype(np.int64) - np.array([len(t) for t in left], np.int64)
+                before, sizes = np.array([len(t) for t in left], np.int64), np.array([len(a) + len(b) for a, b in zip(left, right)], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                prefix = prefix_hashes(np.frombuffer(b"".join([a + b for a, b in zip(left, right)]), np.uint8))
+                least = before - (sizes - window)  # the distance of a context's last window
+                first = least // BLOCK
+                counts = before // BLOCK - first + 1
+                which = np.repeat(np.arange(len(left)), counts)
+                block = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[which]
+                anchor = (starts + before)[which]
+                core = substring_hashes(prefix, anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + window)
+                low, high = np.maximum(block * BLOCK, least[which]), np.minimum(block * BLOCK + BLOCK - 1, before[which])
+                span = np.repeat(np.arange(len(block)), high - low + 1)
+                bounds = np.concatenate([[0], np.cumsum(high - low + 1)])
+                start = anchor[span] - (low[span] + np.arange(bounds[-1]) - bounds[:-1][span])
+                hashes = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(substring_hashes(prefix, start, start + window).view(np.int64)))
                 once = part.column("once").to_numpy(zero_copy_only=False)
-                arrays = [pa.array(part.column("gram").to_numpy()[which]), pa.array(hashes.view(np.int64)), pa.array(part.column("row").to_numpy()[which], mask=~once[which]), pa.array(origin[which] + inner)]
-                yield pa.RecordBatch.from_arrays(arrays, ["gram", "hash", "row", "start"])
+                arrays = [pa.array(part.column("gram").to_numpy()[which]), pa.array(block.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(low.astype(np.int32)), hashes]
+                arrays += [pa.array(part.column("row").to_numpy()[which], mask=~once[which]), pa.array(part.column("anchor").to_numpy()[which])]
+                yield pa.RecordBatch.from_arrays(arrays, ["gram", "block", "core", "low", "hashes", "row", "anchor"])
 
     return run
 
 
+def _by_counting(parts: DataFrame, window: int) -> DataFrame:
+    """The repeated ranges (row, start, end) of contexts, by counts of blocks and of windows; nothing is gathered.
+
+    A block whose core comes once has no repeated window. One whose windows all come twice together is repeated
+    whole. Single windows are only counted where blocks of one core differ.
+    """
+    key = ["gram", "block", "core"]
+    blocks = stored(parts.mapInArrow(_window_blocks(window), "gram long, block int, core long, low int, hashes array<long>, row long, anchor int").withColumn("all", F.xxhash64("low", "hashes")), "blocks")
+    kinds = blocks.groupBy(*key, "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "anchor")).alias("one"), F.first("low").alias("low"), F.first("hashes").alias("hashes"))
+    kinds = stored(kinds, "kinds")
+    again = kinds.where("n > 1").select(*key, "all")
+    at, size = F.col("anchor") - F.col("low"), F.size("hashes")
+    whole = blocks.where("row is not null").join(again, [*key, "all"], "left_semi").select("row", (at - size + 1).cast("long").alias("start"), (at + window).cast("long").alias("end"))
+    differ = kinds.groupBy(*key).count().where("count > 1").select(*key)
+    single = kinds.join(differ, key).select("gram", "low", F.when(F.col("n") == 1, F.col("one")).alias("one"), F.posexplode("hashes").alias("step", "hash"))
+    single = stored(single.select("gram", "hash", "one.row", (F.col("one.anchor") - F.col("low") - F.col("step")).cast("long").alias("start")), "windows")
+    twice = single.groupBy("gram", "hash").count().where("count > 1").select("gram", "hash")
+    return whole.union(single.where("row is not null").join(twice, ["gram", "hash"], "left_semi").select("row", "start", (F.col("start") + window).alias("end")))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
     """Rows (row, spans array<struct<start, end>>): for the rows of docs that hold repeats, byte ranges that cover them.
 
     `row` numbers the rows of docs as monotonically_increasing_id() does for the same files.
     """
+    texts_of(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    shared = source.select("text").mapInArrow(_grams(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
+    shared = stored(source.select("text").mapInArrow(_grams(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams")
     kind = "gram long, context long, row long, anchor int, first int, last int"
     held = stored(source.mapInArrow(_grams(window, gram, True), kind).join(shared, "gram"), "anchors")
     contexts = stored(held.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "anchor", "first", "last")).alias("one")), "contexts")
@@ -266,9 +300,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
     few = parts.where(F.col("kinds") <= GROUP).drop("kinds").repartition("gram").sortWithinPartitions("gram")
     span = "row long, start long, end long"
     few = few.mapInArrow(_resolve(window), span)
-    many = stored(parts.where(F.col("kinds") > GROUP).drop("kinds").mapInArrow(_window_hashes(window), "gram long, hash long, row long, start long"), "hashes")
-    twice = many.groupBy("gram", "hash").count().where("count > 1").select("gram", "hash")
-    many = many.where("row is not null").join(twice, ["gram", "hash"], "left_semi").select("row", "start", (F.col("start") + window).alias("end"))
+    many = _by_counting(parts.where(F.col("kinds") > GROUP).drop("kinds"), window)
     spans = whole.union(few).union(many).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans
 
