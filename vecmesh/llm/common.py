@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def texts_of(df: DataFrame) -> SparkSession:
+    """df's session, set to send texts to Python workers in batches of BATCH_ROWS at most, so that long ones fit."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter."""
     spark = df.sparkSession
@@ -64,7 +73,7 @@ class Table(dict):
     Keys over `longest` characters are made where they stand and not kept, so memory is bounded whatever the input.
     """
 
-    most, longest = 300_000, 64
+    most, longest = 150_000, 64
 
     def __init__(self):
         super().__init__()
@@ -79,11 +88,14 @@ class Table(dict):
             out = self.make(key)
             if len(key) > self.longest:
                 return out
+        self.keep(key, out)
+        return out
+
+    def keep(self, key: str, out) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = out
-        return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored, text_slices
+from .common import stored, text_slices, texts_of
 from .substr_dedup import _packed, _slices, _unpacked
 
 DEPTH = 3
@@ -128,6 +129,7 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     line, in the order of rows, stays. Lines under `least_tokens` tokens always stay. `row` numbers the rows of
     docs as monotonically_increasing_id() does for the same files.
     """
+    texts_of(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     lines = source.mapInArrow(_lines(least_tokens), "row long, line int, leaf long, deep long, masked long")
     busy = lines.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
@@ -135,7 +137,7 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     distinct = stored(held.groupBy("leaf", "masked", "deep").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("one")), "distinct")
     asked = distinct.select("one.row", F.struct("leaf", "masked", "deep", "n", "one.line").alias("a")).groupBy("row").agg(F.collect_list("a").alias("asked"))
     packed = source.mapInArrow(_packed, "row long, n long, packed binary")
-    texts = packed.join(asked, "row").mapInArrow(_wanted, "leaf long, masked long, deep long, n long, text string")
+    texts = packed.join(asked.hint("merge"), "row").mapInArrow(_wanted, "leaf long, masked long, deep long, n long, text string")
     blocks = distinct.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("blocks"))
     texts = texts.join(blocks, "leaf").select("leaf", F.pmod("deep", "blocks").alias("block"), "masked", "text", "n")
     texts = texts.repartition("leaf", "block").sortWithinPartitions("leaf", "block")
@@ -156,7 +158,7 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     n_lines and n_dropped. docs must give its rows in one order each time it is read, as a table of files does.
     """
     drop = recurring(docs, text=text, **options).select(F.col("row").alias("__vecmesh_drop"), F.col("lines").alias("__vecmesh_lines"))
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__vecmesh_row")).join(drop, F.col("__vecmesh_row") == F.col("__vecmesh_drop"), "left")
+    rows = docs.select("*", F.monotonically_increasing_id().alias("__vecmesh_row")).join(drop.hint("merge"), F.col("__vecmesh_row") == F.col("__vecmesh_drop"), "left")
     rows = rows.drop("__vecmesh_row", "__vecmesh_drop")
     at, size = docs.columns.index(text), len(docs.columns)
     count = docs.columns.index(length) if length in docs.columns else None
@@ -179,7 +181,5 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                 columns += [pa.array(sizes, pa.int64()), pa.array(fewer, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = docs.schema
-    for name in extra:
-        schema = type(schema)(schema.fields).add(name, "long")
+    schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in extra)])
     return rows.mapInArrow(cut, schema)
