@@ -95,7 +95,7 @@ def suffix_sort(raw: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.
         n = extension(prefix, start[x], start[y], np.minimum(end[x] - start[x], end[y] - start[y]))
         for part in range(0, len(n), 4096):  # verify: bytes decide where hashes collided
             p = slice(part, part + 4096)
-            span = np.arange(n[p].max(initial=0))
+            span = np.arange(max(1, n[p].max(initial=0)))
             used = span < n[p][:, None]
             differ = (raw[np.where(used, start[x[p]][:, None] + span, 0)] != raw[np.where(used, start[y[p]][:, None] + span, 0)]) & used
             n[p] = np.where(differ.any(axis=1), differ.argmax(axis=1), n[p])
