@@ -143,9 +143,9 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     texts = texts.repartition("leaf", "block").sortWithinPartitions("leaf", "block")
     template = stored(texts.mapInArrow(_templates(similar), "leaf long, masked long, template long"), "templates")
     found = stored(held.join(template, ["leaf", "masked"]).select("template", "row", "line"), "found")
-    often = found.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= least_docs).select("template")
-    first = found.join(often, "template").groupBy("template").agg(F.min(F.struct("row", "line")).alias("first"))
-    drop = found.join(first, "template")
+    # A document counts once; both aggregations combine before their exchange, and a hot template's rows stay split.
+    often = found.groupBy("template", "row").agg(F.min("line").alias("line")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("first"))
+    drop = found.join(stored(often.where(F.col("docs") >= least_docs), "often"), "template")
     if keep_first:
         drop = drop.where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
     return drop.groupBy("row").agg(F.collect_set("line").alias("lines"))
