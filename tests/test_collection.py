@@ -169,3 +169,43 @@ def test_command_line(spark, tmp_path, capsys):
     call("delete", "a", "--ids", "1")
     assert call("search", "a", "--vector", "[0, 0]") == [(2, 2.0)]
     assert call("list") == ["a"]
+
+
+def test_two_stage_search_and_location(spark, engine):
+    c = engine.create("a", 8, capacity=150)
+    c.insert(generators.clusters(spark, 300, 8))
+    c.flush()
+    c.maintain()
+    c.insert(generators.uniform(spark, 5, 8, first=9000))
+    c.delete(ids_frame(spark, 0))
+    asked = generators.clusters(spark, 300, 8).where("id % 60 = 0").withColumnRenamed("id", "query_id")
+    exact, coded = c.search(asked, 5, exact=True), c.search(asked, 5, exact=True, two_stage=True)
+    assert evaluate.recall(coded, exact, 5).groupBy().avg("recall").first()[0] >= 0.9
+    assert 0 not in {r["id"] for r in coded.collect()}
+    places = {r["id"]: (r["tier"], r["bucket_id"]) for r in c.locate(ids_frame(spark, 0, 1, 9001, 77777)).collect()}
+    assert set(places) == {1, 9001} and places[9001] == ("delta", None) and places[1][0] == "base"
+
+
+def test_verify(spark, engine, tmp_path):
+    c = engine.create("a", 2)
+    assert c.verify() == []
+    c.insert(frame(spark, [(1, [0, 0])]))
+    c.flush()
+    assert c.verify() == []
+    lost = next((tmp_path / "a/snapshots/1/rows").rglob("*.parquet"))
+    lost.write_bytes(b"short")
+    assert len(c.verify("warn")) == 1
+    with pytest.raises(OSError):
+        c.verify()
+
+
+def test_entry_without_the_pipeline_operators(monkeypatch):
+    import importlib
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("vecmesh.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "vecmesh.llm", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert "exact_knn_l2" in entry.queries() and not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
+    assert entry.oracle_sql()

@@ -31,3 +31,10 @@ def percentile_floor(values: DataFrame, group: str, value: str, p: float) -> Dat
     sizes = values.groupBy(group).agg(F.count(value).alias("n"))
     ranked = values.where(F.col(value).isNotNull()).withColumn("__rn", F.row_number().over(order)).join(F.broadcast(sizes), group)
     return ranked.where(F.col("__rn") == F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1).select(group, "n", F.col(value).alias("value"))
+
+
+def coverage(ids: DataFrame, mapping: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """One row (sampled, covered, rate): how many of a sample of ids (id) a map (id, ...) knows."""
+    asked = ids.select("id") if share >= 1 else ids.select("id").sample(share, seed)
+    known = mapping.select("id").distinct().withColumn("__known", F.lit(1))
+    return asked.join(known, "id", "left").agg(F.count("*").alias("sampled"), F.count("__known").alias("covered")).withColumn("rate", F.when(F.col("sampled") > 0, F.col("covered") / F.col("sampled")).otherwise(F.lit(0.0)))

@@ -6,6 +6,8 @@ results are rounded in both forms.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import metrics, sq8
 from ..functions.arrow import matrix
 from ..operators import caches, cluster, evaluate, maintain, oplog, routing, search
+from ..sources.collection import Collection, Engine
+from ..sources.files import Files
+from ..streaming.ingest import ingest
 
 K, TARGET, DECAY, DENSITY = 10, 0.5, 5.0, 100.0
 CAPACITY = 52
@@ -450,6 +455,58 @@ def normalized_rows(spark, d):
     return unit.select("id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("l1"))
 
 
+@query("SELECT count(*) AS sampled, count(*) FILTER (WHERE vec_id % 3 <> 0) AS covered, round(count(*) FILTER (WHERE vec_id % 3 <> 0) / count(*), 6) AS rate FROM embeddings")
+def id_map_coverage(spark, d):
+    rows = _rows(spark, d)
+    return evaluate.coverage(rows, rows.where("id % 3 <> 0")).withColumn("rate", F.round("rate", 6))
+
+
+# --- Collections ---------------------------------------------------------------------------------------------------
+
+
+def _collection(spark: SparkSession, d: str, capacity: int = 10_000) -> Collection:
+    """A fresh collection in the shared folder: all rows, then every tenth with the next one's vector, then deletes."""
+    rows = _rows(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecmesh-")
+    c = Engine(spark, f"{root.rstrip('/')}/vecmesh-collections/{uuid.uuid4().hex}").create("c", _dim(rows), capacity=capacity)
+    c.insert(rows)
+    c.flush()
+    c.insert(_upserts(rows).where("seq = 1"))
+    c.delete(rows.where("id % 7 = 0"))
+    return c
+
+
+_LIVE = f"{_UP}, lw AS (SELECT id, max_by(e, seq) AS e FROM up WHERE id % 7 <> 0 GROUP BY id)"
+
+
+@query(f"WITH {_V}{_LIVE} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, lw"))
+def collection_search(spark, d):
+    """Base and log searched as one."""
+    return _out(_collection(spark, d).search(_queries(_rows(spark, d)), K, exact=True))
+
+
+@query(f"WITH {_V}{_LIVE} SELECT id, round(list_sum(e), 6) AS total FROM lw")
+def collection_after_maintenance(spark, d):
+    """Flush, splits and merges lose, double and revive nothing."""
+    c = _collection(spark, d, capacity=200)
+    c.flush()
+    for _ in range(3):
+        c.maintain()
+    return c.live().select("id", F.round(F.aggregate(metrics.doubles("embedding"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT vec_id AS id, 'base' AS tier, label AS source_label FROM embeddings")
+def streaming_ingest(spark, d):
+    """The table as a stream into a collection, each micro-batch one write with a flush behind it."""
+    rows = _rows(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecmesh-")
+    at = f"{root.rstrip('/')}/vecmesh-collections/{uuid.uuid4().hex}"
+    c = Engine(spark, at).create("c", _dim(rows))
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/embeddings.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/embeddings.parquet" if Files(spark, f"{d}/embeddings.parquet").is_folder() else f"{d}/embeddings*.parquet")
+    ingest(stream.select(F.col("vec_id").alias("id"), "embedding"), c, f"{at}/stream").awaitTermination()
+    return c.locate(rows).join(rows.select("id", F.col("bucket_id").alias("source_label")), "id").select("id", "tier", "source_label")
+
+
 @query()
 def queue_cache_trace(spark, d):
     return caches.trace(spark.read.parquet(f"{d}/events.parquet"), "user_id", ["ts", "event_id"], capacity=64)

@@ -20,6 +20,9 @@ ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.L
 BASE = T.StructType([*ROWS.fields, T.StructField("bucket_id", T.IntegerType())])
 CENTROIDS = T.StructType([T.StructField("bucket_id", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
+CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("codes", T.ArrayType(T.ShortType())), T.StructField("bucket_id", T.IntegerType())])
+QUANTIZERS = T.StructType([T.StructField("bucket_id", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("low", "high", "step"))])
+
 
 class NotFound(LookupError):
     """No such collection."""

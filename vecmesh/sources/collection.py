@@ -19,7 +19,7 @@ from ..functions import sq8
 from ..functions.arrow import matrix
 from ..functions.metrics import Metric, block_scores
 from ..operators import cluster, maintain, oplog, routing, search
-from ..schema import BASE, CENTROIDS, OPS, InvalidInput, NotFound, checked
+from ..schema import BASE, CENTROIDS, CODES, OPS, QUANTIZERS, InvalidInput, NotFound, checked
 from .files import Files
 
 
@@ -99,12 +99,10 @@ class Collection:
         return self.spark.read.schema(OPS).parquet(*paths).where(F.col("seq") > after)
 
     def base(self, snapshot: int | None = None) -> DataFrame:
-        n = self.state().snapshot if snapshot is None else snapshot
-        return self.spark.read.schema(BASE).parquet(f"{self.path}/snapshots/{n}/rows") if n else self.spark.createDataFrame([], BASE)
+        return self._table("rows", BASE, snapshot)
 
     def centroids(self, snapshot: int | None = None) -> DataFrame:
-        n = self.state().snapshot if snapshot is None else snapshot
-        return self.spark.read.schema(CENTROIDS).parquet(f"{self.path}/snapshots/{n}/centroids") if n else self.spark.createDataFrame([], CENTROIDS)
+        return self._table("centroids", CENTROIDS, snapshot)
 
     # --- Writes ---
 
@@ -144,10 +142,11 @@ class Collection:
         entries = self.base(state.snapshot).select("seq", F.lit("INSERT").alias("kind"), "id", "embedding").unionByName(self.log(state.flushed).select("seq", "kind", "id", "embedding"))
         return oplog.replay(entries)
 
-    def search(self, queries: DataFrame, k: int = 10, target: float | None = None, decay: float | None = None, density: float | None = None, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, target: float | None = None, decay: float | None = None, density: float | None = None, exact: bool = False, two_stage: bool = False) -> DataFrame:
         """(query_id, rank, id, score): the base by routed buckets, the log in full, merged; None means the default.
 
-        Rows of the base that the log replaces or deletes are left out before they are scored.
+        Rows of the base that the log replaces or deletes are left out before they are scored. two_stage takes
+        candidates by codes first and reads only their vectors.
         """
         if k < 1:
             raise InvalidInput("k must be 1 or more")
@@ -161,11 +160,51 @@ class Collection:
             routes = None
             if not exact:
                 routes = routing.select_buckets(queries, self.centroids(state.snapshot), self.dim, self.metric, routing.TARGET if target is None else target, routing.DECAY if decay is None else decay, routing.DENSITY if density is None else density)
-            found = found.unionByName(search.knn(base, queries, k, self.dim, self.metric, routes))
+            if two_stage:
+                coded = search.live(self.codes(state.snapshot), self.log(state.flushed))
+                near = search.two_stage(coded, self.quantizers(state.snapshot), base, queries, k, self.dim, self.metric, routes)
+            else:
+                near = search.knn(base, queries, k, self.dim, self.metric, routes)
+            found = found.unionByName(near)
         return search._ranked(found.drop("rank"), k)
 
-    def quantizers(self) -> DataFrame:
-        return sq8.train(self.base(), self.dim)
+    def _table(self, name: str, schema, snapshot: int | None) -> DataFrame:
+        n = self.state().snapshot if snapshot is None else snapshot
+        return self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/{n}/{name}") if n else self.spark.createDataFrame([], schema)
+
+    def codes(self, snapshot: int | None = None) -> DataFrame:
+        """(id, codes, bucket_id) of a snapshot."""
+        return self._table("codes", CODES, snapshot)
+
+    def quantizers(self, snapshot: int | None = None) -> DataFrame:
+        """(bucket_id, low, high, step) of a snapshot."""
+        return self._table("quantizers", QUANTIZERS, snapshot)
+
+    def locate(self, ids: DataFrame) -> DataFrame:
+        """(id, tier, bucket_id) of live rows among ids (id); rows in the log have no bucket yet."""
+        state = self.state()
+        wanted = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        fresh = self.log(state.flushed)
+        delta = oplog.replay(fresh.select("seq", "kind", "id", "embedding")).select("id", F.lit("delta").alias("tier"), F.lit(None).cast("int").alias("bucket_id"))
+        base = search.live(self.base(state.snapshot).select("id", "bucket_id"), fresh).select("id", F.lit("base").alias("tier"), "bucket_id")
+        return wanted.join(delta.unionByName(base), "id")
+
+    def verify(self, on_mismatch: str = "fail") -> list[str]:
+        """Files of the snapshot in force that are missing or whose size differs from what its commit recorded.
+
+        on_mismatch "fail" raises over any, "warn" returns them.
+        """
+        if on_mismatch not in ("fail", "warn"):
+            raise InvalidInput("on_mismatch is fail or warn")
+        state = self.state()
+        if not state.snapshot:
+            return []
+        said = json.loads(self.files.read(f"{self.name}/snapshots/{state.snapshot}/files.json"))
+        there = self.files.sizes(f"{self.name}/snapshots/{state.snapshot}/rows")
+        wrong = sorted(k for k in said.keys() | there.keys() if said.get(k) != there.get(k))
+        if wrong and on_mismatch == "fail":
+            raise OSError(f"{len(wrong)} files of {self.name} differ from its commit: {wrong[:3]}")
+        return wrong
 
     # --- Maintenance ---
 
@@ -180,6 +219,10 @@ class Collection:
         rows.repartition("bucket_id").write.partitionBy("bucket_id").parquet(f"{self.path}/snapshots/{n}/rows")
         written = self.base(n)
         maintain.centroids(written).write.parquet(f"{self.path}/snapshots/{n}/centroids")
+        sq8.train(written, self.dim).write.parquet(f"{self.path}/snapshots/{n}/quantizers")
+        coded = written.join(self.quantizers(n), "bucket_id").select("id", sq8.encode("embedding", "low", "step").alias("codes"), "bucket_id")
+        coded.write.partitionBy("bucket_id").parquet(f"{self.path}/snapshots/{n}/codes")
+        self.files.write(f"{self.name}/snapshots/{n}/files.json", json.dumps(self.files.sizes(f"{self.name}/snapshots/{n}/rows")))
         kept = {b: temperature.get(b, maintain.START) for b in (r["bucket_id"] for r in self.centroids(n).select("bucket_id").collect())}  # a row a bucket
         self._commit(State(n, flushed, tuple(sorted(kept.items()))))
 

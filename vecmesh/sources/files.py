@@ -21,6 +21,20 @@ class Files:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.exists(name) else []
 
+    def is_folder(self) -> bool:
+        return self.fs.exists(self._path("")) and self.fs.getFileStatus(self._path("")).isDirectory()
+
+    def sizes(self, name: str) -> dict[str, int]:
+        """The size of each file below a folder, by its path from there."""
+        if not self.exists(name):
+            return {}
+        top, out = self._path(name).toUri().getPath(), {}
+        found = self.fs.listFiles(self._path(name), True)
+        while found.hasNext():
+            one = found.next()
+            out[one.getPath().toUri().getPath()[len(top) + 1 :]] = one.getLen()
+        return out
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
