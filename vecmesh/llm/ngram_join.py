@@ -2,6 +2,8 @@
 
 Two sets of Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each under any one order
 of all tokens. The first order puts rare tokens first; only pairs that share a prefix token there are candidates.
+With a token's places in both prefixes, a candidate's
+intersection has an upper bound, valid at the first token that it shares; too small a one drops the candidate.
 Each further order is a hash order; a candidate must share a prefix token under all of them before its sets are
 compared. Equal sets are one node from the start.
 
@@ -16,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, stored, text_slices
+from .common import components, mix64, stored, text_slices, texts_of
 from .shingles import SLICE_BYTES, shingle_sets
 
 #: Similarity as an exact fraction: 100 * intersection >= PERCENT * union.
@@ -114,7 +116,7 @@ def _postings(send, percent: int):
         frequent, place = send.value
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            tokens, nodes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for s in sets:
                 if len(s) and (name := node_of(s)) not in seen:
                     if len(seen) >= 100_000:
@@ -122,7 +124,8 @@ def _postings(send, percent: int):
                     seen.add(name)
                     tokens.append(first_prefix(s, frequent, place, percent))
                     nodes.append(np.full(len(tokens[-1]), name, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    places.append(np.arange(len(tokens[-1]), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], ["token", "node", "place"])
 
     return run
 
@@ -152,7 +155,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     blocks = pairs.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     pairs = pairs.join(blocks, "c").select("c", "v", F.pmod(F.xxhash64("v"), F.col("nb")).alias("b"))
     centres = pairs.select("c", "b").distinct().select("c", F.col("c").alias("v"), "b")
-    rows = pairs.union(centres).join(texts.withColumnRenamed("node", "v"), "v").select("c", "b", "v", "text")
+    rows = pairs.union(centres).hint("merge").join(texts.withColumnRenamed("node", "v"), "v").select("c", "b", "v", "text")
     rows = rows.repartition("c", "b").sortWithinPartitions("c", "b", F.col("v") != F.col("c"))
     return rows.mapInArrow(_verify(percent), "hi long, lo long")
 
@@ -165,7 +168,7 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
     `row` numbers the rows of docs as monotonically_increasing_id() does for the same files; `group` names the
     component also where ids repeat or are null.
     """
-    spark = docs.sparkSession
+    spark = texts_of(docs)
     texts = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     kind = docs.schema[id_column].dataType.simpleString()
     names = stored(texts.mapInArrow(_names, f"id {kind}, row long, node long, n long"), "sets")
@@ -176,27 +179,31 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
     by_value = frequent.argsort()
     place = np.lexsort((frequent[by_value], counts[by_value])).argsort()
     send = spark.sparkContext.broadcast((frequent[by_value], place))
-    postings = docs.select(F.col(text).alias("text")).mapInArrow(_postings(send, percent), "token long, node long")
+    postings = docs.select(F.col(text).alias("text")).mapInArrow(_postings(send, percent), "token long, node long, place int")
     shared = postings.groupBy("token").count().where("count > 1").select("token")
     held = stored(postings.join(shared, "token"), "postings")
     mixed = held.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
     held = held.join(mixed, "token").distinct()
     weight = held.groupBy("node").agg(F.count("*").alias("w"))
     held = stored(held.join(weight, "node").join(nodes.select("node", "n"), "node"), "shared")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    centre = held.groupBy("token").agg(F.max(F.struct("w", "node", "n")).alias("top")).select("token", F.col("top.node").alias("c"), F.col("top.n").alias("cn"))
-    pairs = held.join(centre, "token").where((F.col("c") != F.col("node")) & fits(F.col("n"), F.col("cn"))).select("c", F.col("node").alias("v")).distinct()
+    def fits(p: str, q: str) -> Column:
+        """Whether sets of sizes p+n and q+n can be similar if their first common token is at p+place and q+place."""
+        left = F.least(F.col(f"{p}n") - F.col(f"{p}place"), F.col(f"{q}n") - F.col(f"{q}place"))
+        return left * (100 + percent) >= (F.col(f"{p}n") + F.col(f"{q}n")) * percent
+
+    centre = held.groupBy("token").agg(F.max(F.struct("w", "node", "n", "place")).alias("top")).select("token", *(F.col(f"top.{a}").alias(b) for a, b in (("node", "c"), ("n", "c_n"), ("place", "c_place"))))
+    pairs = held.join(centre, "token").where((F.col("c") != F.col("node")) & fits("", "c_")).select("c", F.col("node").alias("v")).distinct()
     pairs = stored(pairs, "pairs")
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("row", "node")
-    texts = stored(texts.select("row", "text").join(wanted, "row").select("node", "text"), "texts")
+    texts = stored(texts.select("row", "text").join(wanted.hint("merge"), "row").select("node", "text"), "texts")
     stars = stored(_links(pairs, texts, percent), "links")
     joined = components(stars)
-    labelled = held.join(joined, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("k"))
+    labelled = held.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("k"))
     apart = labelled.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
     labelled = stored(labelled.join(apart, "token"), "apart")
-    other = labelled.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "k")))
-    rest = labelled.join(other, "token").where((F.col("node") < F.col("o_node")) & (F.col("k") != F.col("o_k")) & fits(F.col("n"), F.col("o_n")))
+    other = labelled.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "place", "k")))
+    rest = labelled.join(other, "token").where((F.col("node") < F.col("o_node")) & (F.col("k") != F.col("o_k")) & fits("", "o_"))
     rest = rest.select(F.col("node").alias("c"), F.col("o_node").alias("v")).distinct()
     done = pairs.select(F.least("c", "v").alias("c"), F.greatest("c", "v").alias("v"))
     more = _links(stored(rest.join(done, ["c", "v"], "left_anti"), "rest"), texts, percent)
@@ -217,4 +224,4 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id",
     found = join(docs, percent, id_column, text)
     first = found.groupBy("group").agg(F.min(F.struct(F.col(id_column).isNull(), id_column, "row")).alias("one")).select(F.col("one.row").alias("__vecmesh_kept"))
     numbered = docs.select("*", F.monotonically_increasing_id().alias("__vecmesh_row"))
-    return numbered.join(first, F.col("__vecmesh_row") == F.col("__vecmesh_kept"), "left_semi").drop("__vecmesh_row")
+    return numbered.join(first.hint("merge"), F.col("__vecmesh_row") == F.col("__vecmesh_kept"), "left_semi").drop("__vecmesh_row")
