@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.L
 BASE = T.StructType([*ROWS.fields, T.StructField("bucket_id", T.IntegerType())])
 CENTROIDS = T.StructType([T.StructField("bucket_id", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
-CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("codes", T.ArrayType(T.ShortType())), T.StructField("bucket_id", T.IntegerType())])
+CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("codes", T.ArrayType(T.ShortType())), T.StructField("bucket_id", T.IntegerType())])
 QUANTIZERS = T.StructType([T.StructField("bucket_id", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("low", "high", "step"))])
 
 
@@ -32,9 +32,8 @@ class InvalidInput(ValueError):
     """An argument that contradicts a collection or makes no sense."""
 
 
-def checked(rows: DataFrame, dim: int) -> DataFrame:
-    """rows (id, embedding) as the engine stores them; the whole batch is refused over one bad row."""
+def checked(rows: DataFrame, dim: int, seen: Observation) -> DataFrame:
+    """rows (id, embedding) as the engine stores them; `seen` tells their number n and how many of them are bad."""
     bad = F.col("id").isNull() | F.col("embedding").isNull() | (F.size("embedding") != dim) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")))
-    if not rows.where(bad).isEmpty():
-        raise InvalidInput(f"every row needs an id and {dim} numbers")
-    return rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return rows.observe(seen, F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("int")).alias("bad"))

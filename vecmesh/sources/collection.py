@@ -1,18 +1,22 @@
-"""Collections of vectors: an operation log for writes, bucketed Parquet for the base, immutable snapshots.
+"""Collections of vectors: an operation log for writes, bucketed Parquet for the base, immutable parts.
 
-Layout under root/name: meta.json; log/<first seq>.parquet, one directory for each acknowledged write; and
-snapshots/<n>, a table partitioned by bucket, with the centroids beside it. CURRENT names the snapshot in force and
-the seq up to which the log is in it; it is replaced by a rename, so readers see one state or the other.
+Layout under root/name: meta.json; log/<first seq>-<last seq>, one directory for each acknowledged write; rows/part=<n>
+and codes/part=<n>, partitioned by bucket; deletes/<n>, ids and the seq up to which they hide rows; snapshots/<n>, centroids
+and quantisers. CURRENT names what is in force: parts, deletes, retired buckets, and the seq up to which the log is in
+them. It is replaced by a rename, so readers see one state or the other.
+
+A flush appends a part of what is new and hides what it replaces; a split or merge appends the moved rows and retires
+their old bucket, whose files are no longer read. Only compact() and train(buckets=...) write the whole base.
 """
 
 from __future__ import annotations
 
 import json
-import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sq8
@@ -25,10 +29,13 @@ from .files import Files
 
 @dataclass(frozen=True)
 class State:
-    """A snapshot's number (0: none yet), the log seq it includes, each bucket's temperature, the next free seq."""
+    """What is in force: snapshot 0 has no parts. temperature: (bucket, value) of each bucket."""
 
     snapshot: int = 0
     flushed: int = 0
+    parts: tuple[int, ...] = ()
+    deletes: tuple[int, ...] = ()
+    retired: tuple[int, ...] = ()
     temperature: tuple[tuple[int, float], ...] = ()
 
 
@@ -78,10 +85,10 @@ class Collection:
         if not self.files.exists(f"{self.name}/CURRENT"):
             return State()
         held = json.loads(self.files.read(f"{self.name}/CURRENT"))
-        return State(held["snapshot"], held["flushed"], tuple((int(b), t) for b, t in held["temperature"]))
+        return State(**{f.name: tuple(map(tuple, held[f.name])) if f.name == "temperature" else tuple(held[f.name]) if isinstance(held[f.name], list) else held[f.name] for f in fields(State)})
 
     def _commit(self, state: State) -> None:
-        self.files.write(f"{self.name}/CURRENT", json.dumps({"snapshot": state.snapshot, "flushed": state.flushed, "temperature": state.temperature, "at": time.time()}))
+        self.files.write(f"{self.name}/CURRENT", json.dumps(asdict(state)))
 
     def _segments(self) -> list[str]:
         return [n for n in self.files.names(f"{self.name}/log") if self.files.exists(f"{self.name}/log/{n}/_SUCCESS")]
@@ -98,31 +105,55 @@ class Collection:
             return self.spark.createDataFrame([], OPS)
         return self.spark.read.schema(OPS).parquet(*paths).where(F.col("seq") > after)
 
-    def base(self, snapshot: int | None = None) -> DataFrame:
-        return self._table("rows", BASE, snapshot)
+    def _parts(self, name: str, schema, state: State) -> DataFrame:
+        """`name` of all parts in force; retired buckets are partitions that the scan leaves out."""
+        if not state.parts:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}")
+        rows = read.parquet(*[f"{self.path}/{name}/part={n}" for n in state.parts]).select(*schema.names)
+        return rows.where(~F.col("bucket_id").isin(list(state.retired))) if state.retired else rows
+
+    def base(self, state: State | None = None) -> DataFrame:
+        """(id, seq, embedding, bucket_id) of the base's rows that later flushes haven't hidden."""
+        state = state or self.state()
+        return self._shown(self._parts("rows", BASE, state), state)
+
+    def _shown(self, rows: DataFrame, state: State) -> DataFrame:
+        if not state.deletes:
+            return rows
+        hidden = self.spark.read.schema("id long, seq long").parquet(*[f"{self.path}/deletes/{n}" for n in state.deletes]).groupBy("id").agg(F.max("seq").alias("__until"))
+        return rows.join(hidden, "id", "left").where("__until is null or seq >= __until").select(*rows.columns)
 
     def centroids(self, snapshot: int | None = None) -> DataFrame:
         return self._table("centroids", CENTROIDS, snapshot)
 
     # --- Writes ---
 
-    def _append(self, rows: DataFrame, kind: str) -> int:
-        """One acknowledged write: a segment appears when its last file is there. All its entries share a seq range."""
-        first, n = self._next_seq(), rows.count()
-        if not n:
+    def _append(self, rows: DataFrame, kind: str, seen: Observation) -> int:
+        """One acknowledged write, in one pass over rows: a segment appears by a rename once all its rows are sound."""
+        first = self._next_seq()
+        numbered = rows.select(F.lit(first).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(first).cast("long").alias("tx_id"), "id", "embedding")
+        pending, name = f"{self.name}/pending/{uuid.uuid4().hex}", f"{self.name}/log/{first:020d}-{first:020d}"
+        numbered.write.parquet(f"{self.files.root}/{pending}")
+        if not seen.get["n"] or seen.get["bad"]:
+            self.files.delete(pending)
+            if seen.get["n"]:
+                raise InvalidInput(f"{seen.get['bad']} rows lack an id or {self.dim} numbers")
             return 0
-        numbered = rows.withColumn("seq", F.lit(first) + F.lit(0)).select("seq", F.lit(kind).alias("kind"), F.lit(first).cast("long").alias("tx_id"), "id", "embedding")
-        numbered.write.parquet(f"{self.path}/log/{first:020d}-{first:020d}")
-        return n
+        self.files.rename(pending, name)
+        return seen.get["n"]
 
     def insert(self, rows: DataFrame) -> int:
-        """Upsert rows (id, embedding); an id twice in a batch keeps one of its rows, the greatest vector."""
-        one = checked(rows, self.dim).groupBy("id").agg(F.max("embedding").alias("embedding"))
-        return self._append(one, "INSERT")
+        """Upsert rows (id, embedding) and say how many; an id twice in a batch keeps one of its rows, the greatest vector."""
+        seen = Observation()
+        one = checked(rows, self.dim, seen).groupBy("id").agg(F.max("embedding").alias("embedding"))
+        return self._append(one, "INSERT", seen)
 
     def delete(self, ids: DataFrame) -> int:
         """Delete rows by id (id); ids that aren't there do nothing."""
-        return self._append(ids.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("embedding")).distinct(), "DELETE")
+        seen = Observation()
+        gone = ids.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("embedding")).distinct()
+        return self._append(gone.observe(seen, F.count("*").alias("n"), F.sum(F.col("id").isNull().cast("int")).alias("bad")), "DELETE", seen)
 
     def train(self, rows: DataFrame, buckets: int | None = None, seed: int = 0) -> int:
         """Bulk load; with `buckets`, cluster all rows afresh into so many."""
@@ -139,7 +170,7 @@ class Collection:
     def live(self) -> DataFrame:
         """(id, seq, embedding) of all live rows: base and log as one, the highest seq of an id decides."""
         state = self.state()
-        entries = self.base(state.snapshot).select("seq", F.lit("INSERT").alias("kind"), "id", "embedding").unionByName(self.log(state.flushed).select("seq", "kind", "id", "embedding"))
+        entries = self.base(state).select("seq", F.lit("INSERT").alias("kind"), "id", "embedding").unionByName(self.log(state.flushed).select("seq", "kind", "id", "embedding"))
         return oplog.replay(entries)
 
     def search(self, queries: DataFrame, k: int = 10, target: float | None = None, decay: float | None = None, density: float | None = None, exact: bool = False, two_stage: bool = False) -> DataFrame:
@@ -156,12 +187,12 @@ class Collection:
         delta = oplog.replay(self.log(state.flushed).select("seq", "kind", "id", "embedding"))
         found = search.knn(delta.select("id", "embedding"), queries, k, self.dim, self.metric)
         if state.snapshot:
-            base = search.live(self.base(state.snapshot), self.log(state.flushed))
+            base = search.live(self.base(state), self.log(state.flushed))
             routes = None
             if not exact:
                 routes = routing.select_buckets(queries, self.centroids(state.snapshot), self.dim, self.metric, routing.TARGET if target is None else target, routing.DECAY if decay is None else decay, routing.DENSITY if density is None else density)
             if two_stage:
-                coded = search.live(self.codes(state.snapshot), self.log(state.flushed))
+                coded = search.live(self.codes(state), self.log(state.flushed))
                 near = search.two_stage(coded, self.quantizers(state.snapshot), base, queries, k, self.dim, self.metric, routes)
             else:
                 near = search.knn(base, queries, k, self.dim, self.metric, routes)
@@ -172,9 +203,10 @@ class Collection:
         n = self.state().snapshot if snapshot is None else snapshot
         return self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/{n}/{name}") if n else self.spark.createDataFrame([], schema)
 
-    def codes(self, snapshot: int | None = None) -> DataFrame:
-        """(id, codes, bucket_id) of a snapshot."""
-        return self._table("codes", CODES, snapshot)
+    def codes(self, state: State | None = None) -> DataFrame:
+        """(id, seq, codes, bucket_id) of the base's rows."""
+        state = state or self.state()
+        return self._shown(self._parts("codes", CODES, state), state)
 
     def quantizers(self, snapshot: int | None = None) -> DataFrame:
         """(bucket_id, low, high, step) of a snapshot."""
@@ -186,7 +218,7 @@ class Collection:
         wanted = ids.select(F.col("id").cast("long").alias("id")).distinct()
         fresh = self.log(state.flushed)
         delta = oplog.replay(fresh.select("seq", "kind", "id", "embedding")).select("id", F.lit("delta").alias("tier"), F.lit(None).cast("int").alias("bucket_id"))
-        base = search.live(self.base(state.snapshot).select("id", "bucket_id"), fresh).select("id", F.lit("base").alias("tier"), "bucket_id")
+        base = search.live(self.base(state).select("id", "bucket_id"), fresh).select("id", F.lit("base").alias("tier"), "bucket_id")
         return wanted.join(delta.unionByName(base), "id")
 
     def verify(self, on_mismatch: str = "fail") -> list[str]:
@@ -199,8 +231,8 @@ class Collection:
         state = self.state()
         if not state.snapshot:
             return []
-        said = json.loads(self.files.read(f"{self.name}/snapshots/{state.snapshot}/files.json"))
-        there = self.files.sizes(f"{self.name}/snapshots/{state.snapshot}/rows")
+        said = {f"{p}/{k}": v for p, own in json.loads(self.files.read(f"{self.name}/snapshots/{state.snapshot}/files.json")).items() for k, v in own.items()}
+        there = {f"{p}/{k}": v for p in state.parts for k, v in self.files.sizes(f"{self.name}/rows/part={p}").items()}
         wrong = sorted(k for k in said.keys() | there.keys() if said.get(k) != there.get(k))
         if wrong and on_mismatch == "fail":
             raise OSError(f"{len(wrong)} files of {self.name} differ from its commit: {wrong[:3]}")
@@ -208,54 +240,67 @@ class Collection:
 
     # --- Maintenance ---
 
-    def _rewrite(self, rows: DataFrame, known: DataFrame, flushed: int | None = None) -> None:
-        """A new snapshot of rows (id, seq, embedding), each in its nearest known bucket; centroids are the rows' means."""
+    def _rewrite(self, rows: DataFrame, known: DataFrame) -> None:
+        """A new base of rows (id, seq, embedding), each in its nearest known bucket; centroids are the rows' means."""
         state = self.state()
         placed = rows.join(routing.assign(rows, known, self.dim, self.metric).select("id", "bucket_id"), "id")
-        self._publish(placed.select("id", "seq", "embedding", "bucket_id"), self._next_seq() - 1 if flushed is None else flushed, dict(state.temperature))
+        self._publish(placed, State(snapshot=state.snapshot, flushed=self._next_seq() - 1, temperature=state.temperature))
 
-    def _publish(self, rows: DataFrame, flushed: int, temperature: dict[int, float]) -> None:
+    def _publish(self, rows: DataFrame, state: State, hidden: DataFrame | None = None) -> None:
+        """Append a part of rows (id, seq, embedding, bucket_id) to `state` and put it in force."""
         n = max((int(x) for x in self.files.names(f"{self.name}/snapshots")), default=0) + 1
-        rows.repartition("bucket_id").write.partitionBy("bucket_id").parquet(f"{self.path}/snapshots/{n}/rows")
-        written = self.base(n)
-        maintain.centroids(written).write.parquet(f"{self.path}/snapshots/{n}/centroids")
-        sq8.train(written, self.dim).write.parquet(f"{self.path}/snapshots/{n}/quantizers")
-        coded = written.join(self.quantizers(n), "bucket_id").select("id", sq8.encode("embedding", "low", "step").alias("codes"), "bucket_id")
-        coded.write.partitionBy("bucket_id").parquet(f"{self.path}/snapshots/{n}/codes")
-        self.files.write(f"{self.name}/snapshots/{n}/files.json", json.dumps(self.files.sizes(f"{self.name}/snapshots/{n}/rows")))
-        kept = {b: temperature.get(b, maintain.START) for b in (r["bucket_id"] for r in self.centroids(n).select("bucket_id").collect())}  # a row a bucket
-        self._commit(State(n, flushed, tuple(sorted(kept.items()))))
+        rows.select("id", "seq", "embedding", "bucket_id").hint("rebalance", "bucket_id").write.partitionBy("bucket_id").parquet(f"{self.path}/rows/part={n}")
+        written = self._parts("rows", BASE, State(parts=(n,)))
+        known = self.quantizers(state.snapshot) if state.parts else self.quantizers(0)
+        fresh = sq8.train(written.join(F.broadcast(known.select("bucket_id")), "bucket_id", "left_anti"), self.dim)  # a row a bucket
+        known.unionByName(fresh).write.parquet(f"{self.path}/snapshots/{n}/quantizers")
+        coded = written.join(self.quantizers(n), "bucket_id").select("id", "seq", sq8.encode("embedding", "low", "step").alias("codes"), "bucket_id")
+        coded.write.partitionBy("bucket_id").parquet(f"{self.path}/codes/part={n}")
+        state = replace(state, snapshot=n, parts=(*state.parts, n))
+        if hidden is not None:
+            hidden.write.parquet(f"{self.path}/deletes/{n}")
+            state = replace(state, deletes=(*state.deletes, n))
+        maintain.centroids(self.base(state)).write.parquet(f"{self.path}/snapshots/{n}/centroids")
+        self.files.write(f"{self.name}/snapshots/{n}/files.json", json.dumps({p: self.files.sizes(f"{self.name}/rows/part={p}") for p in state.parts}))
+        heat = dict(state.temperature)
+        buckets = [r["bucket_id"] for r in self.centroids(n).select("bucket_id").collect()]  # a row a bucket
+        self._commit(replace(state, temperature=tuple(sorted((b, heat.get(b, maintain.START)) for b in buckets))))
 
     def flush(self) -> bool:
-        """Move the log into the base, each row to its nearest bucket; deletes and replaced rows go. False: nothing to do."""
+        """Move the log into the base as a new part, each row to its nearest bucket. False: nothing to do."""
         state, top = self.state(), self._next_seq() - 1
         if top <= state.flushed:
             return False
         fresh = self.log(state.flushed)
         delta = oplog.replay(fresh.select("seq", "kind", "id", "embedding"))
-        kept = search.live(self.base(state.snapshot), fresh).select("id", "seq", "embedding", "bucket_id")
         placed = delta.join(routing.assign(delta, self.centroids(state.snapshot), self.dim, self.metric).select("id", "bucket_id"), "id")
-        self._publish(kept.unionByName(placed.select("id", "seq", "embedding", "bucket_id")), top, dict(state.temperature))
+        hidden = fresh.groupBy("id").agg(F.max("seq").alias("seq")) if state.parts else None
+        self._publish(placed, replace(state, flushed=top), hidden)
         return True
 
+    def compact(self) -> None:
+        """Write the base anew without hidden rows, in as few files as it needs."""
+        state = self.state()
+        self._publish(self.base(state), State(snapshot=state.snapshot, flushed=state.flushed, temperature=state.temperature))
+
     def stats(self) -> DataFrame:
         """(bucket_id, total, dead, temperature, shift, urgency, action) of the base under the log's deletes."""
         state = self.state()
         gone = self.log(state.flushed)
         heat = self.spark.createDataFrame(list(state.temperature), "bucket_id int, temperature double")
-        base = self.base(state.snapshot)
+        base = self.base(state)
         out = maintain.counts(base, gone).join(heat, "bucket_id").join(maintain.shift(base, self.centroids(state.snapshot)), "bucket_id")
         return maintain.decide(out, self.capacity)
 
     def touch(self, buckets: list[int]) -> None:
         state = self.state()
         warm = {b: t + maintain.TOUCH * (1 - t) if b in buckets else t for b, t in state.temperature}
-        self._commit(State(state.snapshot, state.flushed, tuple(sorted(warm.items()))))
+        self._commit(replace(state, temperature=tuple(sorted(warm.items()))))
 
     def maintain(self) -> str:
         """One tick: cool all buckets, then split or dissolve the first bucket that needs it. Says what was done."""
         state = self.state()
-        self._commit(State(state.snapshot, state.flushed, tuple((b, t * maintain.COOL) for b, t in state.temperature)))
+        self._commit(replace(state, temperature=tuple((b, t * maintain.COOL) for b, t in state.temperature)))
         due = self.stats().where("action <> 'none'").orderBy("bucket_id").limit(1).collect()
         if not due:
             return "none"
@@ -264,7 +309,7 @@ class Collection:
     def split(self, bucket: int) -> str:
         """Two buckets for one; rows much nearer to another bucket go there. A bucket's capacity bounds what is gathered."""
         state = self.state()
-        base = search.live(self.base(state.snapshot), self.log(state.flushed))
+        base = search.live(self.base(state), self.log(state.flushed))
         own = base.where(F.col("bucket_id") == bucket)
         n = own.count()
         if n < cluster.SPLIT_ROWS:
@@ -274,13 +319,12 @@ class Collection:
             return "skipped: singular"
         known = routing.Centroids(self.centroids(state.snapshot), self.dim)
         moved = cluster.defectors(own, halves, known.points[known.ids != bucket], self.metric)
-        first = int(max(known.ids)) + 1
+        first = int(max([*known.ids, *state.retired])) + 1
         stay = own.drop("bucket_id").join(moved.where("not defects"), "id").withColumn("bucket_id", (F.col("half") + first).cast("int"))
         leave = own.drop("bucket_id").join(moved.where("defects").select("id"), "id")
         leave = leave.join(routing.assign(leave, self.centroids(state.snapshot), self.dim, self.metric, apart=bucket).select("id", "bucket_id"), "id")
         columns = ["id", "seq", "embedding", "bucket_id"]
-        rest = base.where(F.col("bucket_id") != bucket).select(*columns)
-        self._publish(rest.unionByName(stay.select(*columns)).unionByName(leave.select(*columns)), state.flushed, dict(state.temperature))
+        self._publish(stay.select(*columns).unionByName(leave.select(*columns)), replace(state, retired=(*state.retired, bucket)))
         return f"split {bucket}"
 
     def _halves(self, own: DataFrame, n: int) -> np.ndarray:
@@ -291,28 +335,28 @@ class Collection:
     def merge(self, bucket: int) -> str:
         """Dissolve a bucket: each row goes to its nearest other one."""
         state = self.state()
-        base = search.live(self.base(state.snapshot), self.log(state.flushed))
+        base = search.live(self.base(state), self.log(state.flushed))
         own = base.where(F.col("bucket_id") == bucket)
         n = own.count()
         if n > maintain.SCATTER_ROWS:
             return "skipped: too large"
         if n and len(state.temperature) < 2:
             return "skipped: no other bucket"
-        columns = ["id", "seq", "embedding", "bucket_id"]
         moved = own.drop("bucket_id")
         moved = moved.join(routing.assign(moved, self.centroids(state.snapshot), self.dim, self.metric, apart=bucket).select("id", "bucket_id"), "id")
-        self._publish(base.where(F.col("bucket_id") != bucket).select(*columns).unionByName(moved.select(*columns)), state.flushed, dict(state.temperature))
+        self._publish(moved, replace(state, retired=(*state.retired, bucket)))
         return f"merge {bucket}"
 
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Drop snapshots but the newest `keep`, and log segments that the one in force includes."""
+    def vacuum(self) -> list[str]:
+        """Drop parts, deletes and snapshots not in force, and log segments that the base includes."""
         state = self.state()
-        old = [n for n in sorted(map(int, self.files.names(f"{self.name}/snapshots"))) if n < state.snapshot][: -(keep - 1) or None] if keep > 1 else [n for n in map(int, self.files.names(f"{self.name}/snapshots")) if n < state.snapshot]
-        gone = [f"snapshots/{n}" for n in old] + [f"log/{n}" for n in self._segments() if int(n.split("-")[1]) <= state.flushed]
+        used = {"rows": state.parts, "codes": state.parts, "deletes": state.deletes, "snapshots": (state.snapshot,)}
+        gone = [f"{kind}/{n}" for kind, kept in used.items() for n in self.files.names(f"{self.name}/{kind}") if int(n.removeprefix("part=")) not in kept]
+        gone += [f"log/{n}" for n in self._segments() if int(n.split("-")[1]) <= state.flushed]
         for name in gone:
             self.files.delete(f"{self.name}/{name}")
         return gone
 
     def metrics(self) -> dict:
         state = self.state()
-        return {"snapshot": state.snapshot, "flushed": state.flushed, "log_segments": len(self._segments()), "buckets": len(state.temperature), "log_entries": self.log(state.flushed).count(), "base_rows": self.base(state.snapshot).count()}
+        return {"snapshot": state.snapshot, "flushed": state.flushed, "log_segments": len(self._segments()), "buckets": len(state.temperature), "log_entries": self.log(state.flushed).count(), "base_rows": self.base(state).count()}

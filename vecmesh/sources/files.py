@@ -54,5 +54,11 @@ class Files:
         options[0] = rename.OVERWRITE
         context.rename(temporary, self._path(name), options)
 
+    def rename(self, name: str, to: str) -> None:
+        """Move a file or folder to a name that isn't taken."""
+        self.fs.mkdirs(self._path(to).getParent())
+        if self.exists(to) or not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{to} is taken")
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
