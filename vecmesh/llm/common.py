@@ -34,10 +34,15 @@ def texts_of(df: DataFrame) -> SparkSession:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter.
+
+    The table goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecmesh/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

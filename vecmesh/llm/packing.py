@@ -13,19 +13,21 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Table, text_slices
+from .common import Table, text_slices, texts_of
 
 CAPACITY = 2048
 #: Ids that wait in a task until they are packed as one block.
 BLOCK_IDS = 2_000_000
 _WORD = re.compile(r"[^ \n\t\r]+")
+# Texts of these characters alone split into units by _UNIT, whatever stands beside: no apostrophe, mark or special token.
+_SIMPLE = re.compile(r"""[ \t\n\rA-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?*$%&#|+/=_()"@-]*""")
+_UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|-]*)")
 
 
@@ -35,7 +37,9 @@ _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b
 
 
 class PartTable(Table):
-    """A lower-case word of letters or a run of symbols -> its ids as bytes, straight from the tokeniser's model."""
+    """A lower-case word of letters, a digit or a run of symbols -> its ids as bytes, straight from the tokeniser's model."""
+
+    most = 250_000
 
     def __init__(self, lib):
         super().__init__()
@@ -49,8 +53,8 @@ class PartTable(Table):
 class WordTable(Table):
     """Word -> its ids as little-endian unsigned 32-bit bytes. Words end at white space, which the tokeniser drops.
 
-    Letters with symbols behind them, the usual word, are two units of the tokeniser, each in a table of its own;
-    any other word goes through the whole tokeniser.
+    Texts of simple characters are cut into the tokeniser's units at once. In others, letters with symbols behind
+    them are two units; any other word goes through the whole tokeniser.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -63,6 +67,7 @@ class WordTable(Table):
         if apart != b"".join([self._whole(w) for w in ("it", "is", "so", "now")]):
             raise ValueError("this tokeniser doesn't drop white space")
         self.plain = all(self._whole(w) == self._parts(_PLAIN.fullmatch(w)) for w in ("Words", "Élan,", "off.!!", "a|", "Zß***", "naïve$$$"))
+        self.plain = self.plain and self._whole("Él 20ßan=(x)") == b"".join([self.parts[u] for u in _UNIT.findall("él 20ßan=(x)")])
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,13 +80,11 @@ class WordTable(Table):
         return self._parts(found) if found else self._whole(word)
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _WORD.findall(text))) if text else b""
-
-
-@cache
-def word_table(tokenizer_file: str) -> WordTable:
-    """One table for all tasks that a worker process runs."""
-    return WordTable(tokenizer_file)
+        if not text:
+            return b""
+        if self.plain and _SIMPLE.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _UNIT.findall(text.lower())))
+        return b"".join(map(self.__getitem__, _WORD.findall(text)))
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -201,6 +204,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     """
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two over 1")
+    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
     names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -216,7 +220,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
         def pieces() -> Iterator[tuple]:
             nonlocal table, type_
             for part in text_slices(batches, text):
-                table, type_ = table or word_table(tokenizer_file), part.schema.field(id_column).type
+                table, type_ = WordTable(tokenizer_file) if table is None else table, part.schema.field(id_column).type
                 for doc, value in zip(part.column(id_column).to_pylist(), part.column(text).to_pylist()):
                     yield from packer.add(doc, table.ids(value) + end)
             yield from packer.finish()
