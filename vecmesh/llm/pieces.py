@@ -9,14 +9,14 @@ back by position. Texts stay in the task that read them: there is no exchange.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Table, text_slices
+from .common import Table, text_slices, texts_of
 
 MARK = "▁"
 
@@ -24,6 +24,8 @@ MARK = "▁"
 class ChunkTable(Table):
     """Marked word -> (ids as int32 bytes, decoded form with a space for each mark), filled from the library on demand."""
 
+    most = 250_000
+
     def __init__(self, model_file: str):
         import sentencepiece
 
@@ -41,42 +43,52 @@ class ChunkTable(Table):
         self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if self.line_end else f"{MARK}+[^{MARK}]*")
 
     def make(self, chunk: str) -> tuple[bytes, str]:
-        if chunk[0] == MARK:  # the library puts one mark in front itself
-            ids = self.lib.encode(chunk[1:]) if len(chunk) > 1 else [self.mark_id]
-        else:
-            ids = self.lib.encode(chunk)
-            if ids[0] != self.mark_id:
-                raise ValueError("the mark joined a character that no piece holds")
-            ids = ids[1:]
-        return np.array(ids, np.int32).tobytes(), self.lib.decode([*self.anchor, *ids])[1:]
+        return self._made([chunk])[0]
+
+    def _made(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """Entries from the library. It puts one mark in front itself, so a chunk's own first mark is left out."""
+        found = self.lib.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
+        for k, c in enumerate(chunks):
+            if c == MARK:
+                found[k] = [self.mark_id]
+            elif c[0] != MARK:
+                if found[k][0] != self.mark_id:
+                    raise ValueError("the mark joined a character that no piece holds")
+                del found[k][0]
+        decoded = self.lib.decode([[*self.anchor, *ids] for ids in found], num_threads=1)
+        return [(array("i", ids).tobytes(), text[1:]) for ids, text in zip(found, decoded)]
+
+    def fill(self, chunks: set[str]) -> None:
+        """Make all entries that the table lacks in one call."""
+        missing = [c for c in chunks if c not in self and c not in self.older and len(c) <= self.longest]
+        for k in range(0, len(missing), 10_000):
+            for c, entry in zip(missing[k : k + 10_000], self._made(missing[k : k + 10_000])):
+                self.keep(c, entry)
 
     def chunks(self, text: str | None) -> list[str]:
         """The marked words of a text, in order; none for an empty or null one."""
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-@cache
-def chunk_table(model_file: str) -> ChunkTable:
-    """One table for all tasks that a worker process runs."""
-    return ChunkTable(model_file)
-
-
 def encode(docs: DataFrame, model_file: str, end: bool = True, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, ids array<int>, decoded string) for every row of docs: the ids, with an end id if asked, and their decoding.
 
     Null texts count as empty: no ids but the end id, and an empty decoding. Repeated rows give repeated rows.
     """
+    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last = None, b""
         for part in text_slices(batches, text):
             if table is None:
-                table = chunk_table(model_file)
+                table = ChunkTable(model_file)
                 last = np.array([table.lib.eos_id()] if end else [], np.int32).tobytes()
+            chunks = [table.chunks(value) for value in part.column(text).to_pylist()]
+            table.fill(set().union(*chunks))
             ids, decoded = [], []
-            for value in part.column(text).to_pylist():
-                found = [table[c] for c in table.chunks(value)]
+            for own in chunks:
+                found = [table[c] for c in own]
                 ids.append(b"".join([i for i, _ in found]) + last)
                 decoded.append("".join([s for _, s in found])[1:])
             offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)

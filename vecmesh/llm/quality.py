@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices
+from .common import text_bytes, text_slices, texts_of
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     Ids labelled twice count by their mean label, rounded; null ids and labels are left out, repeated documents
     count once. The sample is what is broadcast and gathered, so both are bounded by `sample_rows`.
     """
+    texts_of(docs)
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).where("__id is not null and __y is not null").where(~held_out(F.col("__id")))
     known = known.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("double").alias("__y"))
     total = known.count()
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, trees: Trees, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' id and text with `score`, the probability of label 1, for every row; empty and null texts are scored too."""
+    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +163,7 @@ def score(docs: DataFrame, trees: Trees, id_column: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, that score `threshold` or more."""
+    texts_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text):

@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import text_slices, texts_of
 
 # The base patterns, the least length of what they keep, and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -154,6 +154,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, spans array<struct<kind, start, end, cost>>) for every row of docs, repeated rows included."""
+    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +167,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with the secrets of its texts replaced and, if it has one, its length column counted anew."""
+    texts_of(docs)
     at = docs.columns.index(text)
     count = docs.columns.index(length) if length in docs.columns else None
     schema = docs.schema
