@@ -132,7 +132,8 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     texts_of(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     lines = source.mapInArrow(_lines(least_tokens), "row long, line int, leaf long, deep long, masked long")
-    busy = lines.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
+    # Stored, so that the join after it is between two exchanges and adaptive execution splits a hot leaf's rows.
+    busy = stored(lines.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf"), "busy")
     held = stored(lines.join(busy, "leaf"), "lines")
     distinct = stored(held.groupBy("leaf", "masked", "deep").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("one")), "distinct")
     asked = distinct.select("one.row", F.struct("leaf", "masked", "deep", "n", "one.line").alias("a")).groupBy("row").agg(F.collect_list("a").alias("asked"))
