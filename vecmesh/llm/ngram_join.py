@@ -180,11 +180,12 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
     place = np.lexsort((frequent[by_value], counts[by_value])).argsort()
     send = spark.sparkContext.broadcast((frequent[by_value], place))
     postings = docs.select(F.col(text).alias("text")).mapInArrow(_postings(send, percent), "token long, node long, place int")
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
+    # Sides that are aggregations by the join's own key are stored first: adaptive execution then splits a hot key's rows.
+    shared = stored(postings.groupBy("token").count().where("count > 1").select("token"), "tokens")
     held = stored(postings.join(shared, "token"), "postings")
-    mixed = held.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    mixed = stored(held.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "mixed")
     held = held.join(mixed, "token").distinct()
-    weight = held.groupBy("node").agg(F.count("*").alias("w"))
+    weight = held.groupBy("node").agg(F.count("*").alias("w"))  # as many rows as a set's prefix is long
     held = stored(held.join(weight, "node").join(nodes.select("node", "n"), "node"), "shared")
 
     def fits(p: str, q: str) -> Column:
@@ -193,6 +194,7 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
         return left * (100 + percent) >= (F.col(f"{p}n") + F.col(f"{q}n")) * percent
 
     centre = held.groupBy("token").agg(F.max(F.struct("w", "node", "n", "place")).alias("top")).select("token", *(F.col(f"top.{a}").alias(b) for a, b in (("node", "c"), ("n", "c_n"), ("place", "c_place"))))
+    centre = stored(centre, "centres")
     pairs = held.join(centre, "token").where((F.col("c") != F.col("node")) & fits("", "c_")).select("c", F.col("node").alias("v")).distinct()
     pairs = stored(pairs, "pairs")
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("row", "node")
@@ -200,7 +202,7 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
     stars = stored(_links(pairs, texts, percent), "links")
     joined = components(stars)
     labelled = held.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("k"))
-    apart = labelled.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
+    apart = stored(labelled.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token"), "undecided")
     labelled = stored(labelled.join(apart, "token"), "apart")
     other = labelled.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "place", "k")))
     rest = labelled.join(other, "token").where((F.col("node") < F.col("o_node")) & (F.col("k") != F.col("o_k")) & fits("", "o_"))
