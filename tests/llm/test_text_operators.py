@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecmesh.llm import entries, line_dedup, ngram_join, packing, pieces, secrets, sharding, substr_dedup
+from vecmesh.llm import entries, line_dedup, ngram_join, packing, pieces, secrets, sharding, substr_dedup, windows
 
 from . import helpers
 
@@ -208,6 +208,23 @@ def test_substring_dedup(spark, awkward, group, monkeypatch):
     assert rows_of(entries.op6_substring_dedup(spark, d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_anchors_in_steps(monkeypatch):
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(0, 60, 40)
+    raw, offsets = rng.integers(97, 100, lengths.sum()).astype(np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    prefix = windows.prefix_hashes(raw)
+
+    def by_window(step):
+        monkeypatch.setattr(windows, "STEP", step)
+        found = zip(*(c.tolist() for c in windows.anchors(prefix, offsets, 24, 8)))
+        return {start: (text, anchor) for text, anchor, first, last in found for start in range(first, last + 1)}
+
+    whole = by_window(1 << 24)
+    assert sorted(whole) == [s for a, b in zip(offsets[:-1], offsets[1:]) for s in range(a, b - 23)]
+    assert all(offsets[t] <= s <= a <= s + 16 and s + 24 <= offsets[t + 1] for s, (t, a) in whole.items())
+    assert by_window(50) == whole == by_window(7)
+
+
 @pytest.mark.parametrize("group", [256, 3])
 def test_substring_dedup_small_windows(spark, tmp_path, group, monkeypatch):
     monkeypatch.setattr(substr_dedup, "GROUP", group)
