@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from .common import Table, text_slices, texts_of
 
 MARK = "▁"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+STOPS = ".,;:!?*$%&#|"
 
 
 class ChunkTable(Table):
     """Marked word -> (ids as int32 bytes, decoded form with a space for each mark), filled from the library on demand."""
 
-    most = 250_000
+    most = 400_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -40,21 +42,29 @@ class ChunkTable(Table):
         self.anchor = self.lib.encode("a")
         # A line end that no piece holds stands alone too, so words end there as well.
         self.line_end = "" if any("\n" in p for p in pieces) else "\n"
-        self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if self.line_end else f"{MARK}+[^{MARK}]*")
+        # So does a stop behind a letter, where no piece holds a letter and then that stop.
+        stops = "".join(s for s in STOPS if not any(re.search(f"[{LETTERS}]{re.escape(s)}", p) for p in pieces))
+        cut = f"[{LETTERS}]+(?=[{re.escape(stops)}])|" if stops else ""
+        first = f"[{MARK}]+" if not self.line_end else f"(?:{MARK}+|\n)"
+        rest = f"[^{MARK}{self.line_end}]"
+        self.pattern = re.compile("|".join([f"{first}{c}" for c in (cut[:-1], f"{rest}*") if c] + [f"{rest}+"]))
 
     def make(self, chunk: str) -> tuple[bytes, str]:
         return self._made([chunk])[0]
 
     def _made(self, chunks: list[str]) -> list[tuple[bytes, str]]:
-        """Entries from the library. It puts one mark in front itself, so a chunk's own first mark is left out."""
-        found = self.lib.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
+        """Entries from the library. It puts a mark in front itself, so a chunk's own first mark is left out; before a
+        line end that mark, and before a stop a letter, stands apart and its ids are dropped again."""
+        sent = [c[1:] if c[0] == MARK else c if c[0] == "\n" else f"a{c}" for c in chunks]
+        found = self.lib.encode(sent, num_threads=1)
         for k, c in enumerate(chunks):
             if c == MARK:
                 found[k] = [self.mark_id]
             elif c[0] != MARK:
-                if found[k][0] != self.mark_id:
-                    raise ValueError("the mark joined a character that no piece holds")
-                del found[k][0]
+                lead = [self.mark_id] if c[0] == "\n" else self.anchor
+                if found[k][: len(lead)] != lead:
+                    raise ValueError("a piece joined what none holds together")
+                del found[k][: len(lead)]
         decoded = self.lib.decode([[*self.anchor, *ids] for ids in found], num_threads=1)
         return [(array("i", ids).tobytes(), text[1:]) for ids, text in zip(found, decoded)]
 
