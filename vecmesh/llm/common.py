@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
+#: Seconds from which on a table's shuffle files are worth dropping early.
+LARGE_S = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,12 @@ def texts_of(df: DataFrame) -> SparkSession:
     return spark
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that have ended; it does when the JVM collects them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter.
 
@@ -40,7 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecmesh/{name}-{uuid.uuid4().hex}"
+    start = time.monotonic()
     df.write.parquet(path)
+    if time.monotonic() - start > LARGE_S:
+        release(spark)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
