@@ -101,6 +101,26 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, dim: int, metric: str | Met
     return _scan(rows.select(*columns), queries, k, dim, routes, lambda part, block: block_scores(metric, block, matrix(part.column("embedding"), dim)))
 
 
+def within(rows: DataFrame, queries: DataFrame, radius: float, dim: int, metric: str | Metric = Metric.L2) -> DataFrame:
+    """(query_id, rank, id, score): all rows (id, embedding) whose score is `radius` or less."""
+    spark, out = rows.sparkSession, None
+    for ids, block in _blocks(queries, dim):
+        send = spark.sparkContext.broadcast((ids, block))
+
+        def run(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
+            ids, block = send.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROW_SLICE):
+                    part = batch.slice(start, ROW_SLICE)
+                    scores = block_scores(metric, block, matrix(part.column("embedding"), dim))
+                    q, i = np.nonzero(scores <= radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), part.column("id").take(pa.array(i)).cast(pa.int64()), pa.array(scores[q, i])], ["query_id", "id", "score"])
+
+        one = rows.select("id", "embedding").mapInArrow(run, "query_id long, id long, score double")
+        out = one if out is None else out.union(one)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).select("query_id", "rank", "id", "score")
+
+
 def knn_codes(coded: DataFrame, quantizers: DataFrame, queries: DataFrame, k: int, dim: int, metric: str | Metric = Metric.L2, routes: DataFrame | None = None) -> DataFrame:
     """The same by codes: coded (id, bucket_id, codes), quantizers (bucket_id, low, step), one row a bucket."""
     spark = coded.sparkSession

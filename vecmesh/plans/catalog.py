@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, each with the SQL that gives the same rows.
 
-`embeddings` plays the collection: label is the bucket, per-label means are centroids, vec_id < 20 asks. Float
-results are rounded in both forms.
+`embeddings` plays the collection: label is the bucket, per-label means are centroids. Where there is SQL, vec_id < 20
+asks; a query NAME_all is the whole job, asked by all rows whose vec_id is divisible by 100. Float results are rounded
+in both forms.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket_id"), "embedding")
 
 
-def _queries(rows: DataFrame) -> DataFrame:
-    return rows.where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+#: Who asks: the rows that the SQL names, and those of a whole search.
+FEW, ALL = "id < 20", "id % 100 = 0"
+
+
+def _queries(rows: DataFrame, asked: str = FEW) -> DataFrame:
+    return rows.where(asked).select(F.col("id").alias("query_id"), "embedding")
 
 
 def _dim(rows: DataFrame) -> int:
@@ -90,25 +95,34 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(f):
+    """Registers NAME_all beside a search NAME: every row of ALL asks. Too slow for SQL; the tests use brute force."""
+    QUERIES[f"{f.__name__}_all"] = lambda spark, d: f(spark, d, ALL)
+    return f
+
+
 # --- Search --------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {_V} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, v"))
-def exact_knn_l2(spark, d):
+@whole
+def exact_knn_l2(spark, d, asked=FEW):
     rows = _rows(spark, d)
-    return _out(search.knn(rows, _queries(rows), K, _dim(rows)))
+    return _out(search.knn(rows, _queries(rows, asked), K, _dim(rows)))
 
 
 @query(f"WITH {_V} " + _top(f"SELECT query_id, id, round({_cos('qe', 'e')}, 9) AS s FROM q, v"))
-def exact_knn_cosine(spark, d):
+@whole
+def exact_knn_cosine(spark, d, asked=FEW):
     rows = _rows(spark, d)
-    return _out(search.knn(rows, _queries(rows), K, _dim(rows), "COSINE"))
+    return _out(search.knn(rows, _queries(rows, asked), K, _dim(rows), "COSINE"))
 
 
 @query(f"WITH {_V} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, v WHERE id % 7 <> 0"))
-def knn_with_tombstones(spark, d):
+@whole
+def knn_with_tombstones(spark, d, asked=FEW):
     rows = _rows(spark, d)
-    return _out(search.knn(search.live(rows, rows.where("id % 7 = 0")), _queries(rows), K, _dim(rows)))
+    return _out(search.knn(search.live(rows, rows.where("id % 7 = 0")), _queries(rows, asked), K, _dim(rows)))
 
 
 _UP = ", up AS (SELECT id, 0 AS seq, e FROM v UNION ALL SELECT a.id, 1 AS seq, b.e FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.id % 10 = 0)"
@@ -127,18 +141,18 @@ def upsert_lww(spark, d):
 
 
 @query(f"WITH {_V}{_UP}, lw AS (SELECT id, max_by(e, seq) AS e FROM up GROUP BY id) " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, lw"))
-def knn_after_upserts(spark, d):
+@whole
+def knn_after_upserts(spark, d, asked=FEW):
     rows = _rows(spark, d)
-    return _out(search.knn(search.newest(_upserts(rows)), _queries(rows), K, _dim(rows)))
+    return _out(search.knn(search.newest(_upserts(rows)), _queries(rows, asked), K, _dim(rows)))
 
 
 @query(f"WITH {_V} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, v WHERE {_l2('qe', 'e')} <= 1.5", 1_000_000))
-def range_search(spark, d):
+@whole
+def range_search(spark, d, asked=FEW):
     """An extension: all rows within a radius."""
     rows = _rows(spark, d)
-    asked = F.broadcast(_queries(rows).withColumnRenamed("embedding", "qe"))  # 20 rows
-    near = rows.join(asked).select("query_id", "id", F.round(metrics.l2_squared("qe", "embedding"), 9).alias("score")).where("score <= 1.5")
-    return _out(near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))))
+    return _out(search.within(rows, _queries(rows, asked), 1.5, _dim(rows)))
 
 
 # --- Routing -------------------------------------------------------------------------------------------------------
@@ -150,25 +164,28 @@ def route_assign(spark, d):
     return routing.assign(rows, maintain.centroids(rows), _dim(rows)).withColumn("distance", F.round("distance", 6))
 
 
-def _selected(spark, d, **options) -> tuple[DataFrame, DataFrame]:
+def _selected(spark, d, asked=FEW) -> tuple[DataFrame, DataFrame]:
     rows = _rows(spark, d)
-    return rows, routing.select_buckets(_queries(rows), maintain.centroids(rows), _dim(rows), target=TARGET, decay=DECAY, density=DENSITY, **options)
+    return rows, routing.select_buckets(_queries(rows, asked), maintain.centroids(rows), _dim(rows), target=TARGET, decay=DECAY, density=DENSITY)
 
 
 @query(f"WITH {_V}{_C}{_SEL} SELECT query_id, bucket_id, place, round(share, 6) AS share FROM sel")
-def select_buckets(spark, d):
-    return _selected(spark, d)[1].select("query_id", "bucket_id", "place", F.round("share", 6).alias("share"))
+@whole
+def select_buckets(spark, d, asked=FEW):
+    return _selected(spark, d, asked)[1].select("query_id", "bucket_id", "place", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {_V}{_C}{_SEL} SELECT query_id, bucket_id, near FROM sel WHERE near <= 3")
-def guardrail_nearest3(spark, d):
-    return _selected(spark, d)[1].where("near <= 3").select("query_id", "bucket_id", "near")
+@whole
+def guardrail_nearest3(spark, d, asked=FEW):
+    return _selected(spark, d, asked)[1].where("near <= 3").select("query_id", "bucket_id", "near")
 
 
 @query(f"WITH {_V}{_C}{_SEL} " + _top(f"SELECT q.query_id, v.id, round({_l2('qe', 'e')}, 9) AS s FROM q JOIN sel USING (query_id) JOIN v USING (bucket_id)"))
-def pruned_knn(spark, d):
-    rows, routes = _selected(spark, d)
-    return _out(search.knn(rows, _queries(rows), K, _dim(rows), routes=routes))
+@whole
+def pruned_knn(spark, d, asked=FEW):
+    rows, routes = _selected(spark, d, asked)
+    return _out(search.knn(rows, _queries(rows, asked), K, _dim(rows), routes=routes))
 
 
 @query(f"WITH {_V}{_C} SELECT bucket_id, count(*) AS n FROM (SELECT v.id, c.bucket_id, row_number() OVER (PARTITION BY v.id ORDER BY round({_l2('e', 'ce')}, 9), c.bucket_id) AS rn FROM v, c) WHERE rn = 1 GROUP BY bucket_id")
@@ -207,24 +224,27 @@ def sq8_reconstruct_error(spark, d):
 
 
 @query(f"WITH {_V}{_SQ} " + _top(f"SELECT query_id, id, round({_l2('qe', 're')}, 9) AS s FROM q, rc"))
-def adc_topk_l2(spark, d):
+@whole
+def adc_topk_l2(spark, d, asked=FEW):
     rows, quantizers, coded = _coded(spark, d)
-    return _out(search.knn_codes(coded, quantizers, _queries(rows), K, _dim(rows)))
+    return _out(search.knn_codes(coded, quantizers, _queries(rows, asked), K, _dim(rows)))
 
 
 @query(f"WITH {_V}{_SQ} " + _top(f"SELECT query_id, id, round({_cos('qe', 're')}, 9) AS s FROM q, rc"))
-def adc_topk_cosine(spark, d):
+@whole
+def adc_topk_cosine(spark, d, asked=FEW):
     rows, quantizers, coded = _coded(spark, d)
-    return _out(search.knn_codes(coded, quantizers, _queries(rows), K, _dim(rows), "COSINE"))
+    return _out(search.knn_codes(coded, quantizers, _queries(rows, asked), K, _dim(rows), "COSINE"))
 
 
 _ADC = f", adc AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round({_l2('qe', 're')}, 9), id) AS rn FROM q, rc) WHERE rn <= {search.OVERSAMPLE * K})"
 
 
 @query(f"WITH {_V}{_SQ}{_ADC} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM adc JOIN q USING (query_id) JOIN v USING (id)"))
-def two_stage_search(spark, d):
+@whole
+def two_stage_search(spark, d, asked=FEW):
     rows, quantizers, coded = _coded(spark, d)
-    return _out(search.two_stage(coded, quantizers, rows, _queries(rows), K, _dim(rows)))
+    return _out(search.two_stage(coded, quantizers, rows, _queries(rows, asked), K, _dim(rows)))
 
 
 # --- Buckets and maintenance ---------------------------------------------------------------------------------------
@@ -404,9 +424,10 @@ _EX = f", ex AS ({_top('SELECT query_id, id, round(' + _l2('qe', 'e') + ', 9) AS
 
 
 @query(f"WITH {_V}{_C}{_SEL}{_EX} SELECT ex.query_id, round(count(pr.id) / {K}.0, 6) AS recall FROM ex LEFT JOIN pr ON ex.query_id = pr.query_id AND ex.id = pr.id GROUP BY ex.query_id")
-def recall_at_k(spark, d):
-    rows, routes = _selected(spark, d)
-    q, dim = _queries(rows), _dim(rows)
+@whole
+def recall_at_k(spark, d, asked=FEW):
+    rows, routes = _selected(spark, d, asked)
+    q, dim = _queries(rows, asked), _dim(rows)
     return evaluate.recall(search.knn(rows, q, K, dim, routes=routes), search.knn(rows, q, K, dim), K).withColumn("recall", F.round("recall", 6))
 
 
@@ -417,9 +438,10 @@ def bucket_size_summary(spark, d):
 
 
 @query(f"WITH {_V}, ex AS ({_top('SELECT query_id, id, round(' + _l2('qe', 'e') + ', 9) AS s FROM q, v')}) SELECT count(*) AS results, count(*) FILTER (WHERE id % 7 = 0) AS deleted, round(count(*) FILTER (WHERE id % 7 = 0) / count(*), 6) AS rate FROM ex")
-def deleted_hit_rate(spark, d):
+@whole
+def deleted_hit_rate(spark, d, asked=FEW):
     rows = _rows(spark, d)
-    return evaluate.deleted_hits(search.knn(rows, _queries(rows), K, _dim(rows)), rows.where("id % 7 = 0")).withColumn("rate", F.round("rate", 6))
+    return evaluate.deleted_hits(search.knn(rows, _queries(rows, asked), K, _dim(rows)), rows.where("id % 7 = 0")).withColumn("rate", F.round("rate", 6))
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(value) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n, round(value, 6) AS value FROM r WHERE rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1")
@@ -429,11 +451,12 @@ def percentile_floor(spark, d):
 
 
 @query(f"WITH {_V} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, v WHERE id % 7 <> 0"))
-def unified_l0_l1_search(spark, d):
+@whole
+def unified_l0_l1_search(spark, d, asked=FEW):
     """The newest fifth as the delta tier, every seventh row deleted."""
     rows = _rows(spark, d)
     cut = rows.count() * 0.8
-    return _out(search.unified(rows.where(F.col("id") < cut), rows.where(F.col("id") >= cut), rows.where("id % 7 = 0"), _queries(rows), K, _dim(rows)))
+    return _out(search.unified(rows.where(F.col("id") < cut), rows.where(F.col("id") >= cut), rows.where("id % 7 = 0"), _queries(rows, asked), K, _dim(rows)))
 
 
 @query("SELECT user_id, count(*) AS touches, round((1 - 0.5 * power(0.95, count(*))) * power(0.98, count(*) FILTER (WHERE event_id % 2 = 0)), 6) AS temperature FROM events GROUP BY user_id")
@@ -480,9 +503,10 @@ _LIVE = f"{_UP}, lw AS (SELECT id, max_by(e, seq) AS e FROM up WHERE id % 7 <> 0
 
 
 @query(f"WITH {_V}{_LIVE} " + _top(f"SELECT query_id, id, round({_l2('qe', 'e')}, 9) AS s FROM q, lw"))
-def collection_search(spark, d):
+@whole
+def collection_search(spark, d, asked=FEW):
     """Base and log searched as one."""
-    return _out(_collection(spark, d).search(_queries(_rows(spark, d)), K, exact=True))
+    return _out(_collection(spark, d).search(_queries(_rows(spark, d), asked), K, exact=True))
 
 
 @query(f"WITH {_V}{_LIVE} SELECT id, round(list_sum(e), 6) AS total FROM lw")
