@@ -130,6 +130,14 @@ def test_guess_cost():
     assert kinds == ["guess"]
 
 
+def test_letters_pay_for_themselves():
+    """Letters that no list holds are brute force, whatever else the value has; listed words stay cheap."""
+    for text in ("private_key: QmxzkWvbNpLrTyHs", "passphrase=" + "qzjxkwvbmh" * 4, "pwd=xkqzjwvpbnmtrhd7", "pwd=xkqzjwvp", "token: Wvqkzrmpj"):
+        assert [s[0] for s in secrets.find(text)] == ["guess"], text
+    for text in ("auth: international", "passphrase=gardenhorse", "secret: password", "auth: Garden"):
+        assert secrets.find(text) == [], text
+
+
 def test_pieces(spark, awkward):
     import sentencepiece
 

@@ -6,6 +6,7 @@ spans, found by dynamic programming over its positions. Scanning happens where a
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -40,16 +41,30 @@ princess football baseball shadow superman batman summer winter spring autumn mo
 company office server database mysql oracle postgres redis local host prod production dev staging public private
 access account service system temp placeholder insert replace enter change random hidden redacted removed
 """.split()
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+
+
+@lru_cache(maxsize=1)
+def _ranks() -> tuple[dict[str, float], int]:
+    """log10 of the guesses for each listed word, and the longest word's length.
+
+    Behind WORDS come the whole words of four letters or more of the public word vocabulary, most frequent first.
+    """
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    whole = (t[: -len("</w>")] for t in sorted(vocab, key=vocab.__getitem__) if t.endswith("</w>"))
+    words = dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= 4 and w.isascii() and w.isalpha())])
+    return {w: math.log10(i + 2) for i, w in enumerate(words)}, max(map(len, words))
+
+
 #: Rows of the usual keyboard; a walk goes along a row in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b): step for row in ROWS for step in (1, -1) for a, b in zip(row[::step], row[::step][1:])}
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-#: log10 of: days in two centuries, years in them, the start of a walk, a word no list holds, one more segment.
-DATE, YEAR, WALK, WORD, SEGMENT = math.log10(365 * 200), math.log10(200), math.log10(47 * 2), 5.0, math.log10(2)
-_PLAIN = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+#: log10 of: days in two centuries, years in them, the start of a walk, one more segment.
+DATE, YEAR, WALK, SEGMENT = math.log10(365 * 200), math.log10(200), math.log10(47 * 2), math.log10(2)
 
 
 def _alphabet(c: str) -> float:
@@ -60,11 +75,12 @@ def _alphabet(c: str) -> float:
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation; 0 for an empty value. Time is linear in the length.
 
-    A segment is a listed word (also capitalised or with digits for letters), a run of plain letters as an unlisted
-    word, a date, a repeat of one character, a keyboard walk of three or more, or a brute-force span, which pays
-    for each character. Every segment after the first costs a factor of 2 more.
+    A segment is a listed word (also capitalised or with digits for letters), a date, a repeat of one character, a
+    keyboard walk of three or more, or a brute-force span, which pays for each character, as letters that no list
+    holds do. Every segment after the first costs a factor of 2 more.
     """
     n = len(value)
+    ranks, longest = _ranks()
     low = value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
     leet = low.translate(_LEET)
     best, force = [math.inf] * (n + 1), [math.inf] * (n + 1)  # force: the last segment is a brute-force span
@@ -73,7 +89,6 @@ def guess_cost(value: str) -> float:
     for i in range(n):
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             dates[i] = m.end()
-    words = {m.start(): m.end() for m in _PLAIN.finditer(value)}
     for i in range(n):
         start = best[i] + (SEGMENT if i else 0.0)
 
@@ -83,13 +98,11 @@ def guess_cost(value: str) -> float:
 
         force[i + 1] = min(force[i], start) + _alphabet(value[i])
         best[i + 1] = min(best[i + 1], force[i + 1])
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if (rank := _RANK.get(low[i:j])) is not None:
+        for j in range(i + 3, min(n, i + longest) + 1):
+            if (rank := ranks.get(low[i:j])) is not None:
                 reach(j, rank + (0.0 if value[i:j] == low[i:j] else SEGMENT))
-            elif (rank := _RANK.get(leet[i:j])) is not None:
+            elif (rank := ranks.get(leet[i:j])) is not None:
                 reach(j, rank + 2 * SEGMENT)
-        if i in words:
-            reach(words[i], WORD)
         if i in dates:
             reach(dates[i], YEAR if dates[i] - i == 4 else DATE)
         if (i == 0 or value[i - 1] != value[i]) and i + 2 < n and value[i + 1] == value[i]:  # a repeat starts here
@@ -112,8 +125,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans (kind, start, end, log10 guesses) of a text, by start, then kind as listed; offsets in code points.
 
     Base spans have their kind's own patterns, leftmost and not overlapping within a kind, short matches dropped
-    after matching. A `guess` span is a value in a credential context that costs LEAST_COST or more to guess, has
-    more than letters, and overlaps no base span. Base spans carry a cost of 0. Null and empty texts have none.
+    after matching. A `guess` span is a value in a credential context that costs LEAST_COST or more to guess and
+    overlaps no base span. Base spans carry a cost of 0. Null and empty texts have none.
     """
     if not text:
         return []
@@ -128,7 +141,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         base = sorted((a, b) for _, a, b, _ in spans)
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
-            if value.isalpha() or (cost := guess_cost(value)) < LEAST_COST:
+            if (cost := guess_cost(value)) < LEAST_COST:
                 continue
             a, b = m.start(1), m.start(1) + len(value)
             if not any(x < b and a < y for x, y in base):
