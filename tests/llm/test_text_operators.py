@@ -283,6 +283,25 @@ def test_line_templates():
     assert line_dedup.tokens_of("at 10:30  id=ab3 go") == ["at", "<*>", "<*>", "go"]
 
 
+def test_line_template_in_a_large_leaf(spark, tmp_path):
+    """A template whose variable field is the fourth token is one template, however many other lines its leaf has."""
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    other = [f"visit from the {a} {b} {c} {d}" for a, b, c, d in zip(words, words[7:] + words, words[91:] + words, words[333:] + words)] + [f"visit from the {a} {b} {c} {d}" for a, b, c, d in zip(words[500:], words, words[200:] + words, words[50:] + words)] * 2
+    other += [f"visit from the {b} {a} {d} {c}" for a, b, c, d in zip(words[100:], words[17:], words, words[444:] + words)]
+    hot = [f"visit from the {w} ended without incident" for w in words[:50]]
+    helpers.documents(tmp_path / "documents.parquet", hot + other)
+    out = {r["doc_id"]: r["n_dropped"] for r in entries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert sum(out[i] for i in range(50)) == 49
+
+
+def test_line_template_index(monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = [["a", "b", "c", *(str(chr(97 + x)) if x else line_dedup.FIELD for x in rng.integers(0, 9, 7))] for _ in range(1500)]
+    whole = line_dedup.parse(lines, [1] * len(lines))
+    monkeypatch.setattr(line_dedup, "INDEXED", 10**9)
+    assert line_dedup.parse(lines, [1] * len(lines)) == whole and len(whole[1]) > 300
+
+
 @pytest.mark.parametrize("block", [packing.BLOCK_IDS, 5000])
 def test_packing(spark, awkward, block, monkeypatch):
     import tokenizers

@@ -4,8 +4,9 @@ A line's tokens with digits are variable fields. The tree has a fixed depth: the
 tokens; a leaf's lines join the template that they agree with in most places, and where they differ the template
 generalises to a variable field. Lines of a template that recurs in many documents are dropped, all but its first.
 
-Only leaves with enough lines are parsed, over distinct masked lines. A leaf with more than LEAF_LINES of them goes
-on by a hash of its next tokens, so that no task gets an unbounded leaf.
+Only leaves with enough lines are parsed, over distinct masked lines. A leaf is parsed whole in one task whatever its
+size, so that a line's template doesn't depend on how many others there are; in a large leaf an index names the
+templates that can agree.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ DEPTH = 3
 LEAST_TOKENS = 3
 LEAST_DOCS = 10
 SIMILAR = 0.7
-LEAF_LINES = 1000
+#: Templates from which on a leaf's index is used; the result is the same.
+INDEXED = 256
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
@@ -43,7 +45,7 @@ def _hash(*tokens: str) -> int:
 
 
 def _lines(least: int):
-    """Rows (row, line, leaf, deep, masked) for the lines of texts with `least` tokens or more."""
+    """Rows (row, line, leaf, masked) for the lines of texts with `least` tokens or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -52,10 +54,10 @@ def _lines(least: int):
                 for k, line in enumerate(text.split("\n") if text else ()):
                     t = tokens_of(line)
                     if len(t) >= least:
-                        out.append((row, k, _hash(str(len(t)), *t[:DEPTH]), _hash(*t[DEPTH : DEPTH + 2]), _hash(*t)))
-            columns = zip(*out) if out else ((),) * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "line", "leaf", "deep", "masked"])
+                        out.append((row, k, _hash(str(len(t)), *t[:DEPTH]), _hash(*t)))
+            columns = zip(*out) if out else ((),) * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "line", "leaf", "masked"])
 
     return run
 
@@ -65,37 +67,57 @@ def parse(lines: list[list[str]], counts: list[int], similar: float = SIMILAR) -
     names = {FIELD: 0}
     codes = np.array([[names.setdefault(t, len(names)) for t in line] for line in lines], np.int64).reshape(len(lines), -1)
     order = sorted(range(len(lines)), key=lambda i: (-counts[i], lines[i]))
-    templates = np.zeros((len(lines), codes.shape[1]), np.int64)
+    size = codes.shape[1]
+    # A line differs from a template that it joins in few places, so at one of any `few` places they agree.
+    few = sum((size - k) / size >= similar for k in range(size + 1)) if size else 0
+    templates = np.zeros((len(lines), size), np.int64)
     belongs, n = [0] * len(lines), 0
+    index: dict[tuple[int, int], list[int]] = {}  # (place, code): the templates that have it there or once had
     for i in order:
-        if n:
+        among = None
+        if n >= INDEXED and few <= size:
+            if not index:
+                for t in range(n):
+                    for key in enumerate(templates[t].tolist()):
+                        index.setdefault(key, []).append(t)
+            rarest = sorted((index.get(key, ()) for key in enumerate(codes[i].tolist())), key=len)[:few]
+            among = np.array(sorted(set().union(*rarest)), np.int64)
+        if n and (among is None or len(among)):
             # A field stands for any token but is no agreement, unless the line has a field there too.
-            agree = (templates[:n] == codes[i]).mean(axis=1)
+            agree = ((templates[:n] if among is None else templates[among]) == codes[i]).mean(axis=1)
             best = int(agree.argmax())
             if agree[best] >= similar:
-                templates[best] = np.where(templates[best] == codes[i], codes[i], 0)
+                best = best if among is None else int(among[best])
+                fields = (templates[best] != codes[i]) & (templates[best] != 0)
+                templates[best][fields] = 0
+                if index:
+                    for place in np.flatnonzero(fields).tolist():
+                        index.setdefault((place, 0), []).append(best)
                 belongs[i] = best
                 continue
         templates[n], belongs[i] = codes[i], n
+        if index:
+            for key in enumerate(codes[i].tolist()):
+                index.setdefault(key, []).append(n)
         n += 1
     words = list(names)
     return belongs, [[words[c] for c in t] for t in templates[:n]]
 
 
 def _templates(similar: float):
-    """Over distinct lines sorted by (leaf, block): the template of each."""
+    """Over distinct lines sorted by leaf: the template of each."""
 
     def leaf(held: list[tuple]) -> list[tuple]:
-        belongs, templates = parse([tokens_of(h[3]) for h in held], [h[4] for h in held], similar)
-        ids = [_hash(str(held[0][0]), str(held[0][1]), *t) for t in templates]
-        return [(h[0], h[2], ids[b]) for h, b in zip(held, belongs)]
+        belongs, templates = parse([tokens_of(h[2]) for h in held], [h[3] for h in held], similar)
+        ids = [_hash(str(held[0][0]), *t) for t in templates]
+        return [(h[0], h[1], ids[b]) for h, b in zip(held, belongs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("leaf", "block", "masked", "text", "n"))):
-                if held and row[:2] != held[0][:2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("leaf", "masked", "text", "n"))):
+                if held and row[0] != held[0][0]:
                     out += leaf(held)
                     held = []
                 held.append(row)
@@ -116,10 +138,10 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, asked in zip(_unpacked(part), part.column("asked").to_pylist()):
             lines = text.decode().split("\n")
-            out += [(a["leaf"], a["masked"], a["deep"], a["n"], lines[a["line"]]) for a in asked]
-        columns = zip(*out) if out else ((),) * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["leaf", "masked", "deep", "n", "text"])
+            out += [(a["leaf"], a["masked"], a["n"], lines[a["line"]]) for a in asked]
+        columns = zip(*out) if out else ((),) * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["leaf", "masked", "n", "text"])
 
 
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, similar: float = SIMILAR, keep_first: bool = True, text: str = "text") -> DataFrame:
@@ -131,17 +153,15 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     """
     texts_of(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    lines = source.mapInArrow(_lines(least_tokens), "row long, line int, leaf long, deep long, masked long")
+    lines = source.mapInArrow(_lines(least_tokens), "row long, line int, leaf long, masked long")
     # Stored, so that the join after it is between two exchanges and adaptive execution splits a hot leaf's rows.
     busy = stored(lines.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf"), "busy")
     held = stored(lines.join(busy, "leaf"), "lines")
-    distinct = stored(held.groupBy("leaf", "masked", "deep").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("one")), "distinct")
-    asked = distinct.select("one.row", F.struct("leaf", "masked", "deep", "n", "one.line").alias("a")).groupBy("row").agg(F.collect_list("a").alias("asked"))
+    distinct = stored(held.groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("one")), "distinct")
+    asked = distinct.select("one.row", F.struct("leaf", "masked", "n", "one.line").alias("a")).groupBy("row").agg(F.collect_list("a").alias("asked"))
     packed = source.mapInArrow(_packed, "row long, n long, packed binary")
-    texts = packed.join(asked.hint("merge"), "row").mapInArrow(_wanted, "leaf long, masked long, deep long, n long, text string")
-    blocks = distinct.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("blocks"))
-    texts = texts.join(blocks, "leaf").select("leaf", F.pmod("deep", "blocks").alias("block"), "masked", "text", "n")
-    texts = texts.repartition("leaf", "block").sortWithinPartitions("leaf", "block")
+    texts = packed.join(asked.hint("merge"), "row").mapInArrow(_wanted, "leaf long, masked long, n long, text string")
+    texts = texts.repartition("leaf").sortWithinPartitions("leaf")
     template = stored(texts.mapInArrow(_templates(similar), "leaf long, masked long, template long"), "templates")
     found = stored(held.join(template, ["leaf", "masked"]).select("template", "row", "line"), "found")
     # A document counts once; both aggregations combine before their exchange, and a hot template's rows stay split.
