@@ -294,6 +294,17 @@ def test_line_template_in_a_large_leaf(spark, tmp_path):
     assert sum(out[i] for i in range(50)) == 49
 
 
+def test_long_lines_recur_in_two_documents(spark, tmp_path):
+    """A line of 50 words or more goes from its second document on; shorter, other and single-document ones stay."""
+    long, short = " ".join(f"word{i}" for i in range(50)), " ".join(f"term{i}" for i in range(49))
+    numbers = [" ".join(str(i + k) for i in range(60)) for k in range(2)]
+    alone = long.replace("word", "only")
+    texts = [f"first\n{long}\n{short}\n{numbers[0]}", f"{long}\nsecond\n{short}\n{long}", numbers[1], f"{alone}\n{alone}", None, ""]
+    helpers.documents(tmp_path / "documents.parquet", texts)
+    out = {r["doc_id"]: r["n_dropped"] for r in entries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: 0, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
 def test_line_template_index(monkeypatch):
     rng = np.random.default_rng(4)
     lines = [["a", "b", "c", *(str(chr(97 + x)) if x else line_dedup.FIELD for x in rng.integers(0, 9, 7))] for _ in range(1500)]

@@ -3,6 +3,7 @@
 A line's tokens with digits are variable fields. The tree has a fixed depth: the number of tokens, then the leading
 tokens; a leaf's lines join the template that they agree with in most places, and where they differ the template
 generalises to a variable field. Lines of a template that recurs in many documents are dropped, all but its first.
+A long line is dropped from its second document on, if word for word the same; digits aren't variable there.
 
 Only leaves with enough lines are parsed, over distinct masked lines. A leaf is parsed whole in one task whatever its
 size, so that a line's template doesn't depend on how many others there are; in a large leaf an index names the
@@ -27,6 +28,8 @@ from .substr_dedup import _packed, _slices, _unpacked
 DEPTH = 3
 LEAST_TOKENS = 3
 LEAST_DOCS = 10
+#: Words from which a line that stands in LONG_DOCS documents is dropped.
+LONG_TOKENS, LONG_DOCS = 50, 2
 SIMILAR = 0.7
 #: Templates from which on a leaf's index is used; the result is the same.
 INDEXED = 256
@@ -144,11 +147,33 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["leaf", "masked", "n", "text"])
 
 
+def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, line, same) for the lines of LONG_TOKENS words or more; same names their words."""
+    for part in text_slices(batches, "text"):
+        out = []
+        for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
+            for k, line in enumerate(text.split("\n") if text else ()):
+                if len(line) >= 2 * LONG_TOKENS - 1 and len(t := line.split()) >= LONG_TOKENS:
+                    out.append((row, k, _hash(*t)))
+        columns = zip(*out) if out else ((),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["row", "line", "same"])
+
+
+def _recurring(found: DataFrame, name: str, least_docs: int, keep_first: bool) -> DataFrame:
+    """Rows (row, line) of found (name, row, line) whose name stands in `least_docs` rows or more, but its first."""
+    # A document counts once; both aggregations combine before their exchange, and a hot name's rows stay split.
+    often = found.groupBy(name, "row").agg(F.min("line").alias("line")).groupBy(name).agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("first"))
+    drop = found.join(stored(often.where(F.col("docs") >= least_docs), "often"), name)
+    if keep_first:
+        drop = drop.where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
+    return drop.select("row", "line")
+
+
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, similar: float = SIMILAR, keep_first: bool = True, text: str = "text") -> DataFrame:
     """Rows (row, lines array<int>): the lines to drop of those rows of docs that have any, by their places from 0.
 
-    A line is dropped if its template stands in `least_docs` rows or more; with keep_first the template's first
-    line, in the order of rows, stays. Lines under `least_tokens` tokens always stay. `row` numbers the rows of
+    A line is dropped if its template stands in `least_docs` rows or more, or if it has LONG_TOKENS words or more and
+    stands in LONG_DOCS rows; with keep_first the first of them, in the order of rows, stays. Lines under `least_tokens` tokens always stay. `row` numbers the rows of
     docs as monotonically_increasing_id() does for the same files.
     """
     texts_of(docs)
@@ -164,11 +189,8 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     texts = texts.repartition("leaf").sortWithinPartitions("leaf")
     template = stored(texts.mapInArrow(_templates(similar), "leaf long, masked long, template long"), "templates")
     found = stored(held.join(template, ["leaf", "masked"]).select("template", "row", "line"), "found")
-    # A document counts once; both aggregations combine before their exchange, and a hot template's rows stay split.
-    often = found.groupBy("template", "row").agg(F.min("line").alias("line")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("first"))
-    drop = found.join(stored(often.where(F.col("docs") >= least_docs), "often"), "template")
-    if keep_first:
-        drop = drop.where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
+    long = stored(source.mapInArrow(_long_lines, "row long, line int, same long"), "long")
+    drop = _recurring(found, "template", least_docs, keep_first).union(_recurring(long, "same", LONG_DOCS, keep_first))
     return drop.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
