@@ -96,7 +96,7 @@ def query(sql: str | None = None):
 
 
 def whole(f):
-    """Registers NAME_all beside a search NAME: every row of ALL asks. Too slow for SQL; the tests use brute force."""
+    """Registers NAME_all beside a search NAME: every row of ALL asks. Without SQL; tests/test_whole.py holds it to brute force or to its own answer in one block."""
     QUERIES[f"{f.__name__}_all"] = lambda spark, d: f(spark, d, ALL)
     return f
 
