@@ -1,46 +1,49 @@
-"""Helpers shared by the operators: stored intermediate tables, Arrow batches, byte-level words and components."""
+"""Helpers shared by the operators: stored intermediate tables, row numbers, Arrow batches, byte-level words and components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
-import time
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
-#: Seconds from which on a table's shuffle files are worth dropping early.
-LARGE_S = 5
+#: While a table is written: small Arrow batches, and the shuffle files of its plan go when it is done.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bits of a row number that count within a file.
+IN_FILE = 36
+_lock = threading.RLock()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The cluster's shared folder from spark.checkpoint.dir. It must be set: a folder of one machine wouldn't do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="vecmesh-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
-def texts_of(df: DataFrame) -> SparkSession:
-    """df's session, set to send texts to Python workers in batches of BATCH_ROWS at most, so that long ones fit."""
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    return spark
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that have ended; it does when the JVM collects them."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings, and afterwards as it was."""
+    with _lock:
+        before = {k: spark.conf.get(k, None) for k in values}
+        try:
+            for k, v in values.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,15 +53,97 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecmesh/{name}-{uuid.uuid4().hex}"
-    start = time.monotonic()
-    df.write.parquet(path)
-    if time.monotonic() - start > LARGE_S:
-        release(spark)
+    own = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    smaller = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(own)} if 0 < own < BATCH_ROWS else {}
+    with settings(spark, WRITING | smaller):
+        df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sampled(share: float, *key: str) -> Column:
+    """Whether a row is in a sample of about that share of all keys, chosen by a hash; from a share of 1 on, each is."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*key, F.lit("sample")) < -(1 << 63) + max(1, int(share * (1 << 64)))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, f"__vecmesh_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether docs are the rows of Parquet files, at most with columns chosen and rows filtered by fixed rules."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def numbered(docs: DataFrame, row: str = "__vecmesh_row") -> DataFrame:
+    """docs with a long column `row` that names each row, the same one however often and wherever the plan runs.
+
+    A row of Parquet files has the place of its file among all of them and its own place there: neither depends on
+    how the files are split into tasks, which executors that come and go may change. Other tables have no such
+    places, so they are stored once together with their numbers.
+    """
+    if not _plain_scan(docs):
+        return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    at, file, first = docs.metadataColumn("_metadata"), fresh(docs, "file"), fresh(docs, "first")
+    own = docs.select("*", at["file_path"].alias(file), at["row_index"].alias(row))
+    # As many rows as the driver lists files for the scan itself.
+    files = sorted(r[0] for r in own.select(file).distinct().collect()) if len(docs.inputFiles()) > 1 else []
+    if len(files) < 2:
+        return own.drop(file)
+    places = docs.sparkSession.createDataFrame([(f, k << IN_FILE) for k, f in enumerate(files)], f"`{file}` string, `{first}` long")
+    return own.join(F.broadcast(places), file).withColumn(row, F.col(first) + F.col(row)).drop(file, first)
+
+
+_libc: list = []
+
+
+def trim() -> None:
+    """Give free memory back to the system: a worker lives on for tasks that may need none of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # not glibc
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with trim() when a task ends."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(lean, schema)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `limit` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
@@ -157,19 +242,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (hi, lo): a row (node, component) for each node but the least of its component.
 
     Each batch first shrinks to a spanning forest, then large-star and small-star rounds run until only stars
-    towards the least node are left. Nothing is gathered: a round is two aggregations and two joins that adaptive
-    execution may split, and its result is a stored table.
+    towards the least node are left. Nothing is gathered: a round is two aggregations and two joins. The aggregated
+    sides are stored first, so that adaptive execution may split a hub's rows.
     """
     e = edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-    e = stored(e.mapInArrow(_contract, "hi long, lo long").distinct(), "edges")
+    e = stored(mapped(e, _contract, "hi long, lo long").distinct(), "edges")
     while True:
         roots = e.groupBy("hi").agg(F.count("*").alias("n"))
         inner = e.select(F.col("lo").alias("hi")).distinct().join(e, "hi", "left_semi")
         if roots.where("n > 1").isEmpty() and inner.isEmpty():
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        low = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = stored(small.union(low.select("hi", "m")).mapInArrow(_contract, "hi long, lo long").distinct(), "edges")
+        after = stored(mapped(small.union(low.select("hi", "m")), _contract, "hi long, lo long").distinct(), "edges")
+        drop(e, least, large, low)
+        e = after

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Table, text_slices, texts_of
+from .common import Table, mapped, text_slices
 
 CAPACITY = 2048
 #: Ids that wait in a task until they are packed as one block.
@@ -204,7 +204,6 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     """
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two over 1")
-    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
     names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -234,4 +233,4 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
         if out:
             yield batch()
 
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return mapped(docs.select(id_column, text), run, f"`{id_column}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

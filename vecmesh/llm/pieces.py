@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Table, text_slices, texts_of
+from .common import Table, mapped, text_slices
 
 MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -85,7 +85,6 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, id_column: str =
 
     Null texts count as empty: no ids but the end id, and an empty decoding. Repeated rows give repeated rows.
     """
-    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,4 +104,4 @@ def encode(docs: DataFrame, model_file: str, end: bool = True, id_column: str =
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(id_column), lists, pa.array(decoded, pa.string())], [id_column, "ids", "decoded"])
 
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded string")
+    return mapped(docs.select(id_column, text), run, f"`{id_column}` {kind}, ids array<int>, decoded string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices, texts_of
+from .common import mapped, sampled, text_bytes, text_slices
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -126,47 +126,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text: str = "text") -> Trees:
     """Fit on about `sample_rows` labelled, not held-out documents at most, chosen by a hash of their id.
 
     Ids labelled twice count by their mean label, rounded; null ids and labels are left out, repeated documents
-    count once. The sample is what is broadcast and gathered, so both are bounded by `sample_rows`.
+    count once, by the least of their statistics. Without labels the trees score 0.5 everywhere. The sample is what is broadcast and gathered, so both are bounded by `sample_rows`.
     """
-    texts_of(docs)
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y")).where("__id is not null and __y is not null").where(~held_out(F.col("__id")))
+    known = labels.select(F.col(id_column).alias("__id"), F.col("quality").alias("__y")).where("__id is not null and __y is not null").where(~held_out(F.col("__id")))
     known = known.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("double").alias("__y"))
     total = known.count()
-    kept = known.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(total, 1))))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(kept), "__id")
+    kept = known.where(sampled(sample_rows / max(total, 1), "__id"))
+    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(kept), "__id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             x = statistics(part.column("__text"))
             yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["__id", "__y", "x"])
 
-    sample = rows.select(F.col("__id").cast("string"), "__y", "__text").mapInArrow(measure, "__id string, __y double, x array<double>").dropDuplicates(["__id"]).orderBy("__id").toPandas()
+    sample = mapped(rows.select(F.col("__id").cast("string"), "__y", "__text"), measure, "__id string, __y double, x array<double>")
+    sample = sample.groupBy("__id").agg(F.min("__y").alias("__y"), F.min("x").alias("x")).orderBy("__id").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), N_FEATURES)
     return fit(x, sample["__y"].to_numpy(float))
 
 
 def score(docs: DataFrame, trees: Trees, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' id and text with `score`, the probability of label 1, for every row; empty and null texts are scored too."""
-    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text):
             yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array(trees.score(statistics(part.column(text))), pa.float64())], [id_column, "score"])
 
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, score double")
+    return mapped(docs.select(id_column, text), run, f"`{id_column}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, that score `threshold` or more."""
-    texts_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text):
             yield part.filter(pa.array(trees.score(statistics(part.column(text))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices, texts_of
+from .common import mapped, text_slices
 
 # The base patterns, the least length of what they keep, and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -167,7 +167,6 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, spans array<struct<kind, start, end, cost>>) for every row of docs, repeated rows included."""
-    texts_of(docs)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +174,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
             spans = [[dict(zip(("kind", "start", "end", "cost"), s)) for s in find(t)] for t in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array(spans, _SPAN)], [id_column, "spans"])
 
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, spans array<struct<kind:string,start:long,end:long,cost:double>>")
+    return mapped(docs.select(id_column, text), run, f"`{id_column}` {kind}, spans array<struct<kind:string,start:long,end:long,cost:double>>")
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with the secrets of its texts replaced and, if it has one, its length column counted anew."""
-    texts_of(docs)
     at = docs.columns.index(text)
     count = docs.columns.index(length) if length in docs.columns else None
     schema = docs.schema
@@ -194,4 +192,4 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
                 columns[count] = pa.array([n if a is b else len(b) for a, b, n in zip(old, new, part.column(count).to_pylist())], part.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

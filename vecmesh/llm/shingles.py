@@ -8,7 +8,7 @@ import pyarrow as pa
 from .common import mix64, text_bytes
 
 WIDTH = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -18,16 +18,27 @@ _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]  # A-Z count a
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _MIX = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps, as many as a slice needs; longer texts get theirs for as long as they take.
+KEPT = SLICE_BYTES + (1 << 16)
+_powers: list[np.ndarray] = []
+
+
+def _made(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            out = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
+    if n > KEPT:
+        up, down = _made(n)
+        return up, down
+    if not _powers:
+        _powers.extend(_made(KEPT))
     return _powers[0], _powers[1]
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, text_bytes, text_slices, texts_of
+from .common import fresh, mapped, mix64, numbered, stored, text_bytes, text_slices
 from .shingles import SLICE_BYTES, powers
 from .windows import anchors, prefix_hashes, substring_hashes
 
@@ -265,7 +265,7 @@ def _by_counting(parts: DataFrame, window: int) -> DataFrame:
     whole. Single windows are only counted where blocks of one core differ.
     """
     key = ["gram", "block", "core"]
-    blocks = stored(parts.mapInArrow(_window_blocks(window), "gram long, block int, core long, low int, hashes array<long>, row long, anchor int").withColumn("all", F.xxhash64("low", "hashes")), "blocks")
+    blocks = stored(mapped(parts, _window_blocks(window), "gram long, block int, core long, low int, hashes array<long>, row long, anchor int").withColumn("all", F.xxhash64("low", "hashes")), "blocks")
     kinds = blocks.groupBy(*key, "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "anchor")).alias("one"), F.first("low").alias("low"), F.first("hashes").alias("hashes"))
     kinds = stored(kinds, "kinds")
     again = kinds.where("n > 1").select(*key, "all")
@@ -281,38 +281,43 @@ def _by_counting(parts: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
     """Rows (row, spans array<struct<start, end>>): for the rows of docs that hold repeats, byte ranges that cover them.
 
-    `row` numbers the rows of docs as monotonically_increasing_id() does for the same files.
+    `row` is that of numbered(). Null and empty texts hold none, rows that repeat hold each other's.
     """
-    texts_of(docs)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    shared = stored(source.select("text").mapInArrow(_grams(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    row = fresh(docs, "row")
+    return _repeats(numbered(docs, row).select(F.col(row).alias("row"), F.col(text).alias("text")), window, gram)
+
+
+def _repeats(source: DataFrame, window: int, gram: int) -> DataFrame:
+    """repeats() of source (row, text)."""
+    # Sides aggregated by a join's own key are stored first, so that adaptive execution may split a hot key's rows.
+    shared = stored(mapped(source.select("text"), _grams(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams")
     kind = "gram long, context long, row long, anchor int, first int, last int"
-    held = stored(source.mapInArrow(_grams(window, gram, True), kind).join(shared, "gram"), "anchors")
+    held = stored(mapped(source, _grams(window, gram, True), kind).join(shared, "gram"), "anchors")
     contexts = stored(held.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "anchor", "first", "last")).alias("one")), "contexts")
     whole = held.join(contexts.where("copies > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     whole = whole.select("row", F.col("first").cast("long").alias("start"), (F.col("last") + window).cast("long").alias("end"))
-    kinds = contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = stored(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     open_ = contexts.join(kinds, "gram").select("one.row", F.struct("gram", "copies", "kinds", "one.anchor", "one.first", "one.last").alias("f"))
     found = open_.groupBy("row").agg(F.collect_list("f").alias("found"))  # as many as the row's text has anchors
-    packed = source.mapInArrow(_packed, "row long, n long, packed binary")
-    parts = packed.join(found, "row").mapInArrow(_contexts(window), "gram long, once boolean, row long, anchor int, left binary, right binary, kinds long")
+    packed = mapped(source, _packed, "row long, n long, packed binary")
+    parts = mapped(packed.join(found, "row"), _contexts(window), "gram long, once boolean, row long, anchor int, left binary, right binary, kinds long")
     parts = stored(parts, "edges")
     few = parts.where(F.col("kinds") <= GROUP).drop("kinds").repartition("gram").sortWithinPartitions("gram")
     span = "row long, start long, end long"
-    few = few.mapInArrow(_resolve(window), span)
+    few = mapped(few, _resolve(window), span)
     many = _by_counting(parts.where(F.col("kinds") > GROUP).drop("kinds"), window)
-    spans = whole.union(few).union(many).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return spans
+    return whole.union(few).union(many).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept binary) for all rows of docs; kept are the bytes that remain.
 
-    Null texts count as empty. Repeated rows repeat each other's bytes. Texts under `window` bytes stay whole.
-    docs must give its rows in one order each time it is read, as a table of files does.
+    Null texts count as empty. Repeated rows repeat each other's bytes. Texts under `window` bytes stay whole. An
+    empty table gives no rows.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    names = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    row = fresh(docs, "row")
+    names = numbered(docs.select(id_column, text), row).select(F.col(id_column).alias("id"), F.col(row).alias("row"), F.col(text).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -332,5 +337,6 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: s
             n, removed, spans, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())], [id_column, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    packed = names.mapInArrow(pack, f"id {kind}, row long, n long, packed binary")
-    return packed.join(repeats(docs, window, gram, text), "row", "left").select("id", "n", "packed", "spans").mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = stored(_repeats(names.select("row", "text"), window, gram), "spans")
+    packed = mapped(names, pack, f"id {kind}, row long, n long, packed binary")
+    return mapped(packed.join(spans, "row", "left").select("id", "n", "packed", "spans"), cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
