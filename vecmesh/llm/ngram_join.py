@@ -1,11 +1,12 @@
 """N-gram Jaccard join: which documents' shingle sets are similar, by prefix filters under several token orders.
 
 Two sets of Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each under any one order
-of all tokens. The first order puts rare tokens first; only pairs that share a prefix token there are candidates.
-With a token's places in both prefixes, a candidate's
-intersection has an upper bound, valid at the first token that it shares; too small a one drops the candidate.
-Each further order is a hash order; a candidate must share a prefix token under all of them before its sets are
-compared. Equal sets are one node from the start.
+of all tokens. The first order puts rare tokens first; pairs that share a prefix token there are candidates. With a
+token's places in both prefixes, a candidate's intersection has an upper bound, valid at the first token that it
+shares; too small a one drops the candidate. The further orders are hash orders. Candidates meet in their prefixes
+under these before texts are sent to pairs; where many unlike sets share a token of the first order, they are joined
+by tokens of the first order and the next together, so the filters intersect in the join's key. Equal sets are one
+node from the start.
 
 Nothing is done pair by pair within a group of copies. Of the documents that share a prefix token, the one that
 shares most is compared with each of the others; then only pairs that still lie in different components are left,
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, stored, text_slices, texts_of
+from .common import components, drop, fresh, mapped, mix64, numbered, stored, text_slices
 from .shingles import SLICE_BYTES, shingle_sets
 
 #: Similarity as an exact fraction: 100 * intersection >= PERCENT * union.
@@ -32,6 +33,8 @@ CHUNK_TOKENS = 2_000_000
 #: Seeds of the hash orders after the first.
 ORDERS = (11, 12)
 BLOCK = 256
+#: Sets that are paired by one key at most while there is a further order to tell them apart.
+PAIRED = 64
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -58,13 +61,10 @@ def first_prefix(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, pe
     return tokens[:p]
 
 
-def similar(x: np.ndarray, y: np.ndarray, px: list[np.ndarray], py: list[np.ndarray], percent: int = PERCENT) -> bool:
-    """Whether sets x and y are similar: every order's prefixes must meet, then the sets are compared exactly."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets x and y are similar."""
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
-    for a, b in zip(px, py):
-        if not len(np.intersect1d(a, b, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -130,34 +130,105 @@ def _postings(send, percent: int):
     return run
 
 
+def _orders(percent: int):
+    """Rows (node, orders): a set's prefixes under the hash orders, as 32-bit names, each sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches):
+            orders = [[np.unique((p >> np.uint64(32)).astype(np.uint32)).tobytes() for p in hash_prefixes(s, percent)] for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(orders, pa.list_(pa.binary()))], ["node", "orders"])
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (c, b, v, orders) sorted like those of _verify: the pairs (c, v) whose prefixes meet under all hash orders."""
+    key, centre = None, None
+    for batch in batches:
+        kept = []
+        for c, b, v, orders in zip(*(batch.column(x).to_pylist() for x in ("c", "b", "v", "orders"))):
+            if (c, b) != key:
+                key, centre = (c, b), None
+            own = [np.frombuffer(o, np.uint32) for o in orders]
+            if v == c:
+                centre = own if centre is None else centre
+            elif centre is not None and all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(centre, own)):
+                kept.append((c, v))
+        c, v = zip(*kept) if kept else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(v, pa.int64())], ["c", "v"])
+
+
 def _verify(percent: int):
     """Over rows sorted by (centre, block), the centre's own row first: links (hi, lo) between it and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centre, first = None, None, None
+        key, centre = None, None
         for part, sets in _sets(batches):
             hi, lo = [], []
             for c, b, v, s in zip(part.column("c").to_pylist(), part.column("b").to_pylist(), part.column("v").to_pylist(), sets):
                 if (c, b) != key:
                     key, centre = (c, b), None
                 if v == c:
-                    if centre is None:
-                        centre, first = s, hash_prefixes(s, percent)
-                elif centre is not None and similar(centre, s, first, hash_prefixes(s, percent), percent):
+                    centre = s if centre is None else centre
+                elif centre is not None and similar(centre, s, percent):
                     hi.append(max(c, v)), lo.append(min(c, v))
             yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (c, v). A centre with many partners is cut into blocks of about BLOCK of them."""
-    blocks = pairs.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+def _beside(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """Rows (c, b, v, column) of pairs (c, v), sorted so that a centre's own row comes before its partners'.
+
+    A centre with many partners is cut into blocks of about BLOCK of them.
+    """
+    blocks = stored(pairs.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("nb")), "blocks")
     pairs = pairs.join(blocks, "c").select("c", "v", F.pmod(F.xxhash64("v"), F.col("nb")).alias("b"))
     centres = pairs.select("c", "b").distinct().select("c", F.col("c").alias("v"), "b")
-    rows = pairs.union(centres).hint("merge").join(texts.withColumnRenamed("node", "v"), "v").select("c", "b", "v", "text")
-    rows = rows.repartition("c", "b").sortWithinPartitions("c", "b", F.col("v") != F.col("c"))
-    return rows.mapInArrow(_verify(percent), "hi long, lo long")
+    rows = pairs.union(centres).hint("merge").join(held.withColumnRenamed("node", "v"), "v").select("c", "b", "v", column)
+    return rows.repartition("c", "b").sortWithinPartitions("c", "b", F.col("v") != F.col("c"))
+
+
+def _links(pairs: DataFrame, orders: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (hi, lo) among stored pairs (c, v): those that meet under all orders are compared."""
+    met = stored(mapped(_beside(pairs, orders, "orders"), _meet, "c long, v long"), "met")
+    return mapped(_beside(met, texts, "text"), _verify(percent), "hi long, lo long")
+
+
+def _open_pairs(rows: DataFrame, orders: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (c, v) in different components among rows (key, node, n, place, k) that share a key, and that fit.
+
+    Keys of more than PAIRED rows are taken together with the tokens of the next order's prefix, as long as there is
+    one: a pair that may be similar shares such a combined key too, and unlike sets hardly ever do.
+    """
+    found = None
+    for order in range(len(ORDERS) + 1):
+        size = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("key", "m")
+        rows = stored(rows.join(stored(size, "undecided"), "key"), "open")
+        last = order == len(ORDERS)
+        here = rows if last else rows.where(F.col("m") <= PAIRED)
+        other = here.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "place", "k")))
+        pairs = here.join(other, "key").where((F.col("node") < F.col("o_node")) & (F.col("k") != F.col("o_k")) & fits).select(F.col("node").alias("c"), F.col("o_node").alias("v"))
+        found = pairs if found is None else found.union(pairs)
+        rows = rows.where(F.col("m") > PAIRED).drop("m")
+        if last or rows.isEmpty():
+            return found.distinct()
+        names = mapped(orders, _names_of(order), "node long, name long").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
+        rows = rows.join(names.hint("merge"), "node").select(F.xxhash64("key", "name").alias("key"), "node", "n", "place", "k")
+
+
+def _names_of(order: int):
+    """Rows (node, name) for the names of one order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = [np.frombuffer(o[order], np.uint32) for o in part.column("orders").to_pylist()]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(own).astype(np.int64))], ["node", "name"])
+
+    return run
 
 
 def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,28 +236,35 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
 
     n_shingles is the size of its set, component_id the least id that links reach, itself included. Texts that are
     null, empty or without words have an empty set and link with nothing. Repeated rows and equal sets are linked.
-    `row` numbers the rows of docs as monotonically_increasing_id() does for the same files; `group` names the
-    component also where ids repeat or are null.
+    `row` is that of numbered(); `group` names the component also where ids repeat or are null. An empty table gives
+    no rows.
     """
-    spark = texts_of(docs)
-    texts = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    row = fresh(docs, "row")
+    return _join(numbered(docs, row), row, percent, id_column, text)
+
+
+def _join(docs: DataFrame, row: str, percent: int, id_column: str, text: str) -> DataFrame:
+    """join() of docs whose rows the column `row` names."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_column).alias("id"), F.col(row).alias("row"), F.col(text).alias("text"))
     kind = docs.schema[id_column].dataType.simpleString()
-    names = stored(texts.mapInArrow(_names, f"id {kind}, row long, node long, n long"), "sets")
-    nodes = names.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"))
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    names = stored(mapped(texts, _names, f"id {kind}, row long, node long, n long"), "sets")
+    nodes = stored(names.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
+    counted = mapped(texts.select("text"), _common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     frequent, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by_value = frequent.argsort()
     place = np.lexsort((frequent[by_value], counts[by_value])).argsort()
     send = spark.sparkContext.broadcast((frequent[by_value], place))
-    postings = docs.select(F.col(text).alias("text")).mapInArrow(_postings(send, percent), "token long, node long, place int")
+    postings = mapped(texts.select("text"), _postings(send, percent), "token long, node long, place int")
     # Sides that are aggregations by the join's own key are stored first: adaptive execution then splits a hot key's rows.
     shared = stored(postings.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    held = stored(postings.join(shared, "token"), "postings")
-    mixed = stored(held.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "mixed")
-    held = held.join(mixed, "token").distinct()
+    raw = stored(postings.join(shared, "token"), "postings")
+    mixed = stored(raw.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "mixed")
+    held = stored(raw.join(mixed, "token").distinct(), "held")
     weight = held.groupBy("node").agg(F.count("*").alias("w"))  # as many rows as a set's prefix is long
-    held = stored(held.join(weight, "node").join(nodes.select("node", "n"), "node"), "shared")
+    held, before = stored(held.join(weight, "node").join(nodes.select("node", "n"), "node"), "shared"), held
+    drop(shared, raw, mixed, before)
 
     def fits(p: str, q: str) -> Column:
         """Whether sets of sizes p+n and q+n can be similar if their first common token is at p+place and q+place."""
@@ -197,22 +275,20 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
     centre = stored(centre, "centres")
     pairs = held.join(centre, "token").where((F.col("c") != F.col("node")) & fits("", "c_")).select("c", F.col("node").alias("v")).distinct()
     pairs = stored(pairs, "pairs")
+    drop(centre)
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("row", "node")
     texts = stored(texts.select("row", "text").join(wanted.hint("merge"), "row").select("node", "text"), "texts")
-    stars = stored(_links(pairs, texts, percent), "links")
-    joined = components(stars)
-    labelled = held.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("k"))
-    apart = stored(labelled.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token"), "undecided")
-    labelled = stored(labelled.join(apart, "token"), "apart")
-    other = labelled.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "place", "k")))
-    rest = labelled.join(other, "token").where((F.col("node") < F.col("o_node")) & (F.col("k") != F.col("o_k")) & fits("", "o_"))
-    rest = rest.select(F.col("node").alias("c"), F.col("o_node").alias("v")).distinct()
+    orders = stored(mapped(texts, _orders(percent), "node long, orders array<binary>"), "orders")
+    joined = components(stored(_links(pairs, orders, texts, percent), "links"))
+    labelled = held.join(joined, "node", "left").select(F.col("token").alias("key"), "node", "n", "place", F.coalesce("component", "node").alias("k"))
+    rest = _open_pairs(labelled, orders, fits("", "o_"))
     done = pairs.select(F.least("c", "v").alias("c"), F.greatest("c", "v").alias("v"))
-    more = _links(stored(rest.join(done, ["c", "v"], "left_anti"), "rest"), texts, percent)
+    more = _links(stored(rest.join(done, ["c", "v"], "left_anti"), "rest"), orders, texts, percent)
     joined = components(more.union(joined.select(F.col("node").alias("hi"), F.col("component").alias("lo"))))
+    drop(held, pairs, texts, orders)
     label = nodes.join(joined, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("k"))
-    least = label.groupBy("k").agg(F.min("rep").alias("component_id"))
-    label = label.join(least, "k").select("node", "component_id", "k")
+    least = stored(label.groupBy("k").agg(F.min("rep").alias("component_id")), "least")
+    label = stored(label.join(least, "k").select("node", "component_id", "k"), "labels")
     out = names.join(label, "node", "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "row", F.coalesce(F.col("k").cast("string"), F.concat(F.lit("row "), "row")).alias("group"))
 
@@ -220,10 +296,11 @@ def join(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", tex
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, columns as they were, with one row of each component: that of the least id, the first of its equals.
 
-    docs must give its rows in one order each time it is read, as a table of files does. Rows with a null id and a
-    similar text are one group like any other, and every row without words stays.
+    Rows with a null id and a similar text are one group like any other, and every row without words stays. An empty
+    table stays empty.
     """
-    found = join(docs, percent, id_column, text)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col(id_column).isNull(), id_column, "row")).alias("one")).select(F.col("one.row").alias("__vecmesh_kept"))
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("__vecmesh_row"))
-    return numbered.join(first.hint("merge"), F.col("__vecmesh_row") == F.col("__vecmesh_kept"), "left_semi").drop("__vecmesh_row")
+    row, kept = fresh(docs, "row"), fresh(docs, "kept")
+    rows = numbered(docs, row)
+    found = _join(rows, row, percent, id_column, text)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col(id_column).isNull(), id_column, "row")).alias("one")).select(F.col("one.row").alias(kept))
+    return rows.join(stored(first, "kept").hint("merge"), F.col(row) == F.col(kept), "left_semi").drop(row)
