@@ -6,8 +6,10 @@ with covering radii and distances to the parent's routing object, a leaf page ha
 takes the page with the least possible distance first and leaves out every distance that the stored ones rule out
 by the triangle inequality. Scores themselves are exact integers.
 
-Queries go out in blocks of bounded size; a block's k-th best scores over a bounded sample are lower bounds that
-every task starts from, so tasks return few candidates that can't be in the result.
+Both sides are stored tables: trees with their pages, radii and distances to parents, and blocks of queries. Trees
+are dealt into groups; every query block goes to every group, where a task holds one group's trees and reads the
+blocks one after the other. A query's k-th best score over a bounded sample is a lower bound that each group starts
+from, so groups return few candidates that can't be in the result.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mapped, sampled, stored
 
 TREE_ROWS = 8192
 PAGE = 128
 FANOUT = 32
-QUERY_BLOCK = 16_384
+#: Queries about as many as a block has, and bytes of trees that a task holds at once.
+QUERY_BLOCK, GROUP_BYTES = 4096, 64 << 20
 SAMPLE_ROWS = 8192
 SCALE = 1024
 #: Above this the sums of products may not fit a double exactly; exact Python integers take over.
@@ -57,18 +60,40 @@ def scaled(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class MTree:
-    """A tree over integer-valued rows `x` (n, dim) with ids; pages are parallel lists, page 0 is the root."""
+    """A tree over integer-valued rows `x` (n, dim) with ids, as arrays: page p has entries start[p] to start[p + 1].
+
+    An entry's `object` is a row; in an inner page it is the routing object of the page `child`, whose rows all lie
+    within `radius` of it. `parent` is an entry's distance to its own page's routing object; that of page 0 is `root`.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        norms = (x * x).sum(axis=1)
+        self._lift()
+        pages: list[tuple | None] = []
+        self.root = self._centre(np.arange(len(x))) if len(x) else 0
+        self._page(pages, np.arange(len(x)), self.root)
+        self.start = np.cumsum([0, *(len(p[0]) for p in pages)])
+        self.object, self.child, self.radius, self.parent = (np.concatenate(c) for c in zip(*pages))
+
+    def _lift(self) -> None:
+        norms = (self.x * self.x).sum(axis=1)
         self.norm = float(norms.max(initial=0.0))
-        self.lifted = np.column_stack([x, np.sqrt(np.maximum(self.norm - norms, 0.0))])
-        self.objects: list[np.ndarray] = []  # leaf: rows; inner: rows of the children's routing objects
-        self.children: list[np.ndarray | None] = []
-        self.radii: list[np.ndarray | None] = []
-        self.parent: list[np.ndarray] = []  # distance of each object to this page's routing object
-        self._page(np.arange(len(x)), self._centre(np.arange(len(x))))
+        self.lifted = np.column_stack([self.x, np.sqrt(np.maximum(self.norm - norms, 0.0))])
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        rows = self.x.astype(np.int32) if np.abs(self.x).max(initial=0) < 2**31 else self.x
+        np.savez(out, ids=self.ids, x=rows, root=self.root, **{c: getattr(self, c) for c in ("start", "object", "child", "radius", "parent")})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, stored_tree: bytes) -> MTree:
+        tree = cls.__new__(cls)
+        for name, value in np.load(io.BytesIO(stored_tree)).items():
+            setattr(tree, name, value)
+        tree.x, tree.root = tree.x.astype(float), int(tree.root)
+        tree._lift()
+        return tree
 
     def _to(self, rows: np.ndarray, point: int) -> np.ndarray:
         return np.sqrt(((self.lifted[rows] - self.lifted[point]) ** 2).sum(axis=1))
@@ -77,12 +102,12 @@ class MTree:
         some = self.lifted[rows]
         return int(rows[((some - some.mean(axis=0)) ** 2).sum(axis=1).argmin()])
 
-    def _page(self, rows: np.ndarray, centre: int) -> int:
-        me = len(self.objects)
-        for part in (self.objects, self.children, self.radii, self.parent):
-            part.append(None)
+    def _page(self, pages: list, rows: np.ndarray, centre: int) -> int:
+        me = len(pages)
+        pages.append(None)
         if len(rows) <= PAGE:
-            self.objects[me], self.parent[me] = rows, self._to(rows, centre)
+            none = np.full(len(rows), -1)
+            pages[me] = rows, none, none.astype(float), self._to(rows, centre) if len(rows) else np.zeros(0)
             return me
         k = min(FANOUT, math.ceil(len(rows) / PAGE * 2))
         seeds = rows[np.linspace(0, len(rows) - 1, k).astype(int)]
@@ -92,11 +117,8 @@ class MTree:
             parts = np.array_split(rows, k)
         parts = [p for p in parts if len(p)]
         centres = np.array([self._centre(p) for p in parts])
-        self.objects[me], self.parent[me] = centres, self._to(centres, centre)
-        self.radii[me] = np.array([self._to(p, c).max() for p, c in zip(parts, centres)])
-        self.children[me] = np.array([self._page(p, c) for p, c in zip(parts, centres)])
-        if me == 0:
-            self.root = centre
+        radii = np.array([self._to(p, c).max() for p, c in zip(parts, centres)])
+        pages[me] = centres, np.array([self._page(pages, p, c) for p, c in zip(parts, centres)]), radii, self._to(centres, centre)
         return me
 
     def search(self, query: np.ndarray, own, k: int, floor: float, best: list[tuple[float, float]]) -> None:
@@ -109,24 +131,23 @@ class MTree:
             worst = best[0][0] if len(best) == k else floor
             return math.inf if worst == -math.inf else math.sqrt(max(base - 2 * worst + slack, 0.0))
 
-        root = getattr(self, "root", None)
-        to_root = 0.0 if root is None else float(np.sqrt(((self.lifted[root] - point) ** 2).sum()))
-        queue = [(0.0, 0, to_root if root is not None else None)]
+        queue = [(0.0, 0, float(np.sqrt(((self.lifted[self.root] - point) ** 2).sum())))]
         while queue:
             least, page, to_parent = heapq.heappop(queue)
             most = limit()
             if least > most:
                 return
-            rows = self.objects[page]
-            gap = np.abs(to_parent - self.parent[page]) if to_parent is not None else None
-            if self.children[page] is not None:
-                near = np.arange(len(rows)) if gap is None else np.flatnonzero(gap - self.radii[page] <= most)
+            own_part = slice(self.start[page], self.start[page + 1])
+            rows, child, radius = self.object[own_part], self.child[own_part], self.radius[own_part]
+            gap = np.abs(to_parent - self.parent[own_part])
+            if len(rows) and child[0] >= 0:
+                near = np.flatnonzero(gap - radius <= most)
                 away = np.sqrt(((self.lifted[rows[near]] - point) ** 2).sum(axis=1))
-                low = np.maximum(away - self.radii[page][near], 0.0)
+                low = np.maximum(away - radius[near], 0.0)
                 for j in np.flatnonzero(low <= most):
-                    heapq.heappush(queue, (float(low[j]), int(self.children[page][near[j]]), float(away[j])))
+                    heapq.heappush(queue, (float(low[j]), int(child[near[j]]), float(away[j])))
                 continue
-            near = rows if gap is None else rows[gap <= most]
+            near = rows[gap <= most]
             scores = self.x[near] @ query
             worst = best[0][0] if len(best) == k else floor
             for j in np.flatnonzero(scores >= worst):
@@ -139,12 +160,6 @@ class MTree:
                     heapq.heapreplace(best, entry)
 
 
-def _saved(ids: np.ndarray, x: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, ids=ids, x=x.astype(np.int32) if np.abs(x).max(initial=0) < 2**31 else x)
-    return out.getvalue()
-
-
 def _exact(query: np.ndarray, own, ids: np.ndarray, x: np.ndarray, k: int, best: list) -> None:
     """The same update by Python integers, for numbers too large for doubles; scores are cut off at a long's range."""
     q = [int(v) for v in query]
@@ -162,77 +177,121 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
 
     queries has rows of the same form. A row never answers the query of its own id. Vectors that are null or hold a
     null or non-finite component take no part, nor do null ids; shorter ones count as padded with zeros. Repeated
-    rows answer as often as they stand, a repeated query counts once. An empty side gives an empty result.
+    rows answer as often as they stand, a repeated query counts once, by its least vector. An empty side gives an
+    empty result.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
     found = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
-    dim, n = max(found["dim"] or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0, 1), found["n"]
+    asking = asked.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    dim, n = max(found["dim"] or 0, asking["dim"] or 0, 1), found["n"]
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(ids: list, xs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([_saved(np.concatenate(ids), np.concatenate(xs))], pa.binary())], ["rows"])
+            return pa.RecordBatch.from_arrays([pa.array([MTree(np.concatenate(ids), np.concatenate(xs)).to_bytes()], pa.binary())], ["blob"])
 
         ids, xs, held = [], [], 0
         for batch in batches:
             x, keep = scaled(batch.column("v"), dim)
             own = batch.column("id").to_numpy(zero_copy_only=False)[keep]
             x = x[keep]
-            for at in range(0, len(x), TREE_ROWS):
-                ids.append(own[at : at + TREE_ROWS]), xs.append(x[at : at + TREE_ROWS])
-                held += len(ids[-1])
+            while len(x):
+                take = TREE_ROWS - held
+                ids.append(own[:take]), xs.append(x[:take])
+                held, own, x = held + len(ids[-1]), own[take:], x[take:]
                 if held >= TREE_ROWS:
                     yield tree(ids, xs)
                     ids, xs, held = [], [], 0
         if held:
             yield tree(ids, xs)
 
-    blocks = stored(rows.mapInArrow(grow, "rows binary"), "trees")
-    asked = stored(asked.withColumn("h", F.xxhash64("id")), "queries")
-    parts = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * SAMPLE_ROWS).toArrow()
+    trees = stored(mapped(rows, grow, "blob binary").withColumn("tree", F.monotonically_increasing_id()), "trees")
+    sample = rows.where(sampled(SAMPLE_ROWS / max(n, 1), "id")).limit(2 * SAMPLE_ROWS).toArrow()
     sx, keep = scaled(sample.column("v").combine_chunks(), dim) if sample.num_rows else (np.zeros((0, dim)), np.zeros(0, bool))
-    sx, sample_ids = sx[keep], sample.column("id").to_numpy()[keep] if sample.num_rows else np.zeros(0, np.int64)
-    out = None
-    for part in range(parts):
-        block = asked.where(F.pmod("h", F.lit(parts)) == part).select("id", "v").toArrow()
-        qx, keep = scaled(block.column("v").combine_chunks(), dim) if block.num_rows else (np.zeros((0, dim)), np.zeros(0, bool))
-        qx, qid = qx[keep], (block.column("id").to_numpy()[keep] if block.num_rows else np.zeros(0, np.int64))
-        floors = np.full(len(qx), -np.inf)
-        if len(sx) > k and max(np.abs(sx).max(initial=0), np.abs(qx).max(initial=0)) ** 2 * dim < EXACT:
-            for at in range(0, len(qx), 1024):
-                scores = qx[at : at + 1024] @ sx.T
-                scores[qid[at : at + 1024, None] == sample_ids[None, :]] = -np.inf
-                floors[at : at + 1024] = np.partition(scores, -k, axis=1)[:, -k]
-        send = spark.sparkContext.broadcast((qid, qx, floors))
-        one = blocks.mapInArrow(_searcher(send, k), "query_id long, vec_id long, score long")
-        out = one if out is None else out.union(one)
+    send = spark.sparkContext.broadcast((sample.column("id").to_numpy()[keep] if sample.num_rows else np.zeros(0, np.int64), sx[keep]))
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(math.ceil(asking["n"] / QUERY_BLOCK) or 1).cast("long")))
+    blocks = stored(mapped(blocks.repartition("block").sortWithinPartitions("block"), _blocks(send, dim, k), "block long, blob binary"), "queries")
+    # A group has few trees while there are few, so that all cores have some, and what fits a task later on.
+    most = max(1, GROUP_BYTES // (TREE_ROWS * dim * 16))
+    n_trees = trees.count()
+    groups = math.ceil(n_trees / max(1, min(most, n_trees // (4 * spark.sparkContext.defaultParallelism)))) or 1
+    own = trees.select(F.pmod(F.xxhash64("tree"), F.lit(groups).cast("long")).alias("g"), F.lit(-1).cast("long").alias("block"), "blob")
+    sent = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "block", "blob")
+    both = own.union(sent).repartition("g").sortWithinPartitions("g", "block")
+    out = mapped(both, _searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(send, k: int):
+def _blocks(send, dim: int, k: int):
+    """Over queries (id, v, block) sorted by block: blocks of ids, scaled vectors and lower bounds of the k-th best score."""
+
+    def made(block: int, ids: list, xs: list) -> tuple[int, bytes]:
+        sample_ids, sx = send.value
+        qid, qx = np.concatenate(ids), np.concatenate(xs)
+        floors = np.full(len(qx), -np.inf)
+        if len(sx) > k and max(np.abs(sx).max(initial=0), np.abs(qx).max(initial=0)) ** 2 * dim < EXACT:
+            for at in range(0, len(qx), 256):
+                scores = qx[at : at + 256] @ sx.T
+                scores[qid[at : at + 256, None] == sample_ids[None, :]] = -np.inf
+                floors[at : at + 256] = np.partition(scores, -k, axis=1)[:, -k]
+        out = io.BytesIO()
+        np.savez(out, ids=qid, x=qx, floors=floors)
+        return block, out.getvalue()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qx, floors = send.value
-        best: list[list] = [[] for _ in qid]
+        key, ids, xs = None, [], []
         for batch in batches:
-            for blob in batch.column("rows"):
-                kept = np.load(io.BytesIO(blob.as_py()))
-                ids, x = kept["ids"], kept["x"].astype(float)
-                large = max(np.abs(x).max(initial=0), np.abs(qx).max(initial=0)) ** 2 * max(x.shape[1], 1) >= EXACT
-                tree = None if large else MTree(ids, x)
-                for i, query in enumerate(qx):
-                    if large:
-                        _exact(query, qid[i], ids, x, k, best[i])
-                    else:
-                        tree.search(query, qid[i], k, floors[i], best[i])
+            x, keep = scaled(batch.column("v"), dim)
+            names, blocks = batch.column("id").to_numpy(), batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if blocks[a] != key and ids:
+                    yield batch_of(made(key, ids, xs))
+                    ids, xs = [], []
+                key = int(blocks[a])
+                ids.append(names[a:b][keep[a:b]]), xs.append(x[a:b][keep[a:b]])
+        if ids:
+            yield batch_of(made(key, ids, xs))
+
+    def batch_of(row: tuple[int, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.binary())], ["block", "blob"])
+
+    return run
+
+
+def _searcher(k: int):
+    """Over rows (g, block, blob) sorted so that a group's trees come before the query blocks: each query's best of the group."""
+
+    def asked(trees: list[MTree], queries) -> Iterator[pa.RecordBatch]:
+        qid, qx, floors = (queries[c] for c in ("ids", "x", "floors"))
+        best: list[list] = [[] for _ in qid]
+        for tree in trees:
+            large = max(np.abs(tree.x).max(initial=0), np.abs(qx).max(initial=0)) ** 2 * max(tree.x.shape[1], 1) >= EXACT
+            for i, query in enumerate(qx):
+                if large:
+                    _exact(query, qid[i], tree.ids, tree.x, k, best[i])
+                else:
+                    tree.search(query, qid[i], k, floors[i], best[i])
         rows = [(int(qid[i]), -e[1], int(e[0])) for i, heap in enumerate(best) for e in heap]
         for at in range(0, len(rows), 10_000):
             q, v, s = zip(*rows[at : at + 10_000])
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, trees = None, []
+        for batch in batches:
+            for g, block, blob in zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), batch.column("blob")):
+                if g != group:
+                    group, trees = g, []
+                if block < 0:
+                    trees.append(MTree.from_bytes(blob.as_py()))
+                elif trees:
+                    yield from asked(trees, np.load(io.BytesIO(blob.as_py())))
+
     return run
