@@ -1,19 +1,22 @@
 """Line dedup with a log-template tree.
 
 A line's tokens with digits are variable fields. The tree has a fixed depth: the number of tokens, then the leading
-tokens; a leaf's lines join the template that they agree with in most places, and where they differ the template
-generalises to a variable field. Lines of a template that recurs in many documents are dropped, all but its first.
+tokens. Within a leaf, a token that stands at its place in enough documents' lines is fixed, any other generalises to
+a variable field; a line's template is what is fixed in it, as long as that is most of it. Lines of a template that
+recurs in many documents are dropped, all but its first. Where the values of a field are frequent themselves, a
+template that recurs too rarely is generalised by one more field, together with those that differ there alone.
 A long line is dropped from its second document on, if word for word the same; digits aren't variable there.
 
-Only leaves with enough lines are parsed, over distinct masked lines. A leaf is parsed whole in one task whatever its
-size, so that a line's template doesn't depend on how many others there are; in a large leaf an index names the
-templates that can agree.
+A template is the exclusive or of its fixed tokens' hashes, so one without some token follows from it. All steps are
+aggregations and joins by key, whose aggregated sides are stored first: no leaf, template or token is gathered, and
+what is dropped depends on the lines alone, neither on their order nor on how large a leaf is.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored, text_slices, texts_of
-from .substr_dedup import _packed, _slices, _unpacked
+from .common import Table, fresh, mapped, numbered, stored, text_slices
 
 DEPTH = 3
 LEAST_TOKENS = 3
 LEAST_DOCS = 10
 #: Words from which a line that stands in LONG_DOCS documents is dropped.
 LONG_TOKENS, LONG_DOCS = 50, 2
+#: Share of a line's places that its template must have in common with it.
 SIMILAR = 0.7
-#: Templates from which on a leaf's index is used; the result is the same.
-INDEXED = 256
 FIELD = "<*>"
 _VARIABLE = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
@@ -47,162 +48,132 @@ def _hash(*tokens: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(tokens).encode()) - (1 << 63)
 
 
-def _lines(least: int):
-    """Rows (row, line, leaf, masked) for the lines of texts with `least` tokens or more."""
+class TokenTable(Table):
+    """Token -> its 64-bit hash."""
+
+    def make(self, key: str) -> int:
+        return _hash(key)
+
+
+def _leaves(least: int):
+    """Rows (leaf, long): for each text, once, the leaves of its lines of `least` tokens or more, and its long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            out = []
-            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
-                for k, line in enumerate(text.split("\n") if text else ()):
+            leaves, long = [], []
+            for text in part.column("text").to_pylist():
+                own, same = set(), set()
+                for line in text.split("\n") if text else ():
                     t = tokens_of(line)
                     if len(t) >= least:
-                        out.append((row, k, _hash(str(len(t)), *t[:DEPTH]), _hash(*t)))
-            columns = zip(*out) if out else ((),) * 4
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "line", "leaf", "masked"])
+                        own.add(_hash(str(len(t)), *t[:DEPTH]))
+                    if len(t) >= LONG_TOKENS:
+                        same.add(_hash("", *line.split()))
+                leaves += own
+                long += same
+            yield pa.RecordBatch.from_arrays([pa.array(leaves + long, pa.int64()), pa.array([False] * len(leaves) + [True] * len(long))], ["leaf", "long"])
 
     return run
 
 
-def parse(lines: list[list[str]], counts: list[int], similar: float = SIMILAR) -> tuple[list[int], list[list[str]]]:
-    """Put one leaf's distinct lines (of one length), most frequent first, into templates: (template of each, templates)."""
-    names = {FIELD: 0}
-    codes = np.array([[names.setdefault(t, len(names)) for t in line] for line in lines], np.int64).reshape(len(lines), -1)
-    order = sorted(range(len(lines)), key=lambda i: (-counts[i], lines[i]))
-    size = codes.shape[1]
-    # A line differs from a template that it joins in few places, so at one of any `few` places they agree.
-    few = sum((size - k) / size >= similar for k in range(size + 1)) if size else 0
-    templates = np.zeros((len(lines), size), np.int64)
-    belongs, n = [0] * len(lines), 0
-    index: dict[tuple[int, int], list[int]] = {}  # (place, code): the templates that have it there or once had
-    for i in order:
-        among = None
-        if n >= INDEXED and few <= size:
-            if not index:
-                for t in range(n):
-                    for key in enumerate(templates[t].tolist()):
-                        index.setdefault(key, []).append(t)
-            rarest = sorted((index.get(key, ()) for key in enumerate(codes[i].tolist())), key=len)[:few]
-            among = np.array(sorted(set().union(*rarest)), np.int64)
-        if n and (among is None or len(among)):
-            # A field stands for any token but is no agreement, unless the line has a field there too.
-            agree = ((templates[:n] if among is None else templates[among]) == codes[i]).mean(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= similar:
-                best = best if among is None else int(among[best])
-                fields = (templates[best] != codes[i]) & (templates[best] != 0)
-                templates[best][fields] = 0
-                if index:
-                    for place in np.flatnonzero(fields).tolist():
-                        index.setdefault((place, 0), []).append(best)
-                belongs[i] = best
-                continue
-        templates[n], belongs[i] = codes[i], n
-        if index:
-            for key in enumerate(codes[i].tolist()):
-                index.setdefault(key, []).append(n)
-        n += 1
-    words = list(names)
-    return belongs, [[words[c] for c in t] for t in templates[:n]]
-
-
-def _templates(similar: float):
-    """Over distinct lines sorted by leaf: the template of each."""
-
-    def leaf(held: list[tuple]) -> list[tuple]:
-        belongs, templates = parse([tokens_of(h[2]) for h in held], [h[3] for h in held], similar)
-        ids = [_hash(str(held[0][0]), *t) for t in templates]
-        return [(h[0], h[1], ids[b]) for h, b in zip(held, belongs)]
+def _lines(least: int):
+    """Rows (row, lines, leaf, long, masked, tokens): a text's distinct masked lines and, word for word, its long ones.
+
+    lines are the places at which it stands, masked names it, tokens are the hashes of those behind the leading ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("leaf", "masked", "text", "n"))):
-                if held and row[0] != held[0][0]:
-                    out += leaf(held)
-                    held = []
-                held.append(row)
-            yield batch_of(out)
-        if held:
-            yield batch_of(leaf(held))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else ((),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "masked", "template"])
+        table = TokenTable()
+        for part in text_slices(batches, "text"):
+            found: dict[tuple, list[int]] = {}
+            tokens: dict[tuple, list[int]] = {}
+            for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
+                for k, line in enumerate(text.split("\n") if text else ()):
+                    t = tokens_of(line)
+                    if len(t) >= least:
+                        key = (row, _hash(str(len(t)), *t[:DEPTH]), False, _hash(*t))
+                        found.setdefault(key, []).append(k)
+                        if key not in tokens:
+                            tokens[key] = [table[x] for x in t[DEPTH:]]
+                    if len(t) >= LONG_TOKENS:
+                        same = _hash("", *line.split())
+                        found.setdefault((row, same, True, same), []).append(k)
+            rows, leaf, long, masked = zip(*found) if found else ((),) * 4
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, v)]), pa.int32()), pa.array(list(chain.from_iterable(v)), kind)) for v, kind in ((list(found.values()), pa.int32()), ([tokens.get(k, ()) for k in found], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), lists[0], pa.array(leaf, pa.int64()), pa.array(long, pa.bool_()), pa.array(masked, pa.int64()), lists[1]], ["row", "lines", "leaf", "long", "masked", "tokens"])
 
     return run
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines asked for of packed texts."""
-    for part in _slices(batches):
-        out = []
-        for text, asked in zip(_unpacked(part), part.column("asked").to_pylist()):
-            lines = text.decode().split("\n")
-            out += [(a["leaf"], a["masked"], a["n"], lines[a["line"]]) for a in asked]
-        columns = zip(*out) if out else ((),) * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["leaf", "masked", "n", "text"])
-
-
-def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, line, same) for the lines of LONG_TOKENS words or more; same names their words."""
-    for part in text_slices(batches, "text"):
-        out = []
-        for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
-            for k, line in enumerate(text.split("\n") if text else ()):
-                if len(line) >= 2 * LONG_TOKENS - 1 and len(t := line.split()) >= LONG_TOKENS:
-                    out.append((row, k, _hash(*t)))
-        columns = zip(*out) if out else ((),) * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["row", "line", "same"])
-
-
-def _recurring(found: DataFrame, name: str, least_docs: int, keep_first: bool) -> DataFrame:
-    """Rows (row, line) of found (name, row, line) whose name stands in `least_docs` rows or more, but its first."""
-    # A document counts once; both aggregations combine before their exchange, and a hot name's rows stay split.
-    often = found.groupBy(name, "row").agg(F.min("line").alias("line")).groupBy(name).agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("first"))
-    drop = found.join(stored(often.where(F.col("docs") >= least_docs), "often"), name)
-    if keep_first:
-        drop = drop.where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
-    return drop.select("row", "line")
-
-
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, similar: float = SIMILAR, keep_first: bool = True, text: str = "text") -> DataFrame:
     """Rows (row, lines array<int>): the lines to drop of those rows of docs that have any, by their places from 0.
 
     A line is dropped if its template stands in `least_docs` rows or more, or if it has LONG_TOKENS words or more and
-    stands in LONG_DOCS rows; with keep_first the first of them, in the order of rows, stays. Lines under `least_tokens` tokens always stay. `row` numbers the rows of
-    docs as monotonically_increasing_id() does for the same files.
+    stands in LONG_DOCS rows; with keep_first the first of them, in the order of rows, stays. A token of a leaf is
+    fixed if the lines that have it there, each counted with its number of rows, come to `least_docs`; a template
+    has at most 1 - `similar` of its places as fields. Lines under `least_tokens` tokens and texts that are null or
+    empty have none; rows that repeat are documents of their own. `row` is that of numbered().
     """
-    texts_of(docs)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    lines = source.mapInArrow(_lines(least_tokens), "row long, line int, leaf long, masked long")
-    # Stored, so that the join after it is between two exchanges and adaptive execution splits a hot leaf's rows.
-    busy = stored(lines.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf"), "busy")
-    held = stored(lines.join(busy, "leaf"), "lines")
-    distinct = stored(held.groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.min(F.struct("row", "line")).alias("one")), "distinct")
-    asked = distinct.select("one.row", F.struct("leaf", "masked", "n", "one.line").alias("a")).groupBy("row").agg(F.collect_list("a").alias("asked"))
-    packed = source.mapInArrow(_packed, "row long, n long, packed binary")
-    texts = packed.join(asked.hint("merge"), "row").mapInArrow(_wanted, "leaf long, masked long, n long, text string")
-    texts = texts.repartition("leaf").sortWithinPartitions("leaf")
-    template = stored(texts.mapInArrow(_templates(similar), "leaf long, masked long, template long"), "templates")
-    found = stored(held.join(template, ["leaf", "masked"]).select("template", "row", "line"), "found")
-    long = stored(source.mapInArrow(_long_lines, "row long, line int, same long"), "long")
-    drop = _recurring(found, "template", least_docs, keep_first).union(_recurring(long, "same", LONG_DOCS, keep_first))
-    return drop.groupBy("row").agg(F.collect_set("line").alias("lines"))
+    row = fresh(docs, "row")
+    return _recurring(numbered(docs, row).select(F.col(row).alias("row"), F.col(text).alias("text")), least_docs, least_tokens, similar, keep_first)
+
+
+def _recurring(source: DataFrame, least_docs: int, least_tokens: int, similar: float, keep_first: bool) -> DataFrame:
+    """recurring() of source (row, text)."""
+    line = ["leaf", "masked"]
+    busy = mapped(source.select("text"), _leaves(least_tokens), "leaf long, long boolean").groupBy("leaf", "long").count()
+    busy = stored(busy.where(F.col("count") >= F.when(F.col("long"), LONG_DOCS).otherwise(least_docs)).select("leaf", "long"), "busy")
+    held = mapped(source, _lines(least_tokens), "row long, lines array<int>, leaf long, long boolean, masked long, tokens array<long>")
+    held = stored(held.join(busy, ["leaf", "long"]), "lines")
+    masked = held.where("not long")
+    distinct = masked.groupBy(*line).agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
+    places = stored(distinct.select(*line, "docs", F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("place", "token")), "places")
+    cell = ["leaf", "place", "token"]
+    fixed = stored(places.where("token is not null").groupBy(*cell).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select(*cell, F.xxhash64(*cell).alias("hash")), "fixed")
+    cells = places.join(fixed, cell, "left")
+    # A field more may come as long as `spare` isn't 0.
+    spare = F.floor((F.col("n") + DEPTH) * (1 - similar) + 1e-9) - (F.col("n") - F.count("hash"))
+    template = cells.groupBy(*line, "n").agg(F.coalesce(F.bit_xor("hash"), F.lit(0)).alias("t"), spare.alias("spare")).where("spare >= 0").select(*line, "t", "spare")
+    template = stored(template, "templates")
+    found = masked.join(template, line).select("leaf", "masked", "t", "spare", "row", "lines")
+    same = held.where("long").select("leaf", "masked", F.col("masked").alias("t"), F.lit(-1).cast("long").alias("spare"), "row", "lines")
+    found = stored(found.union(same), "found")
+    docs_of = stored(found.groupBy("leaf", "t", "spare", "row").agg(F.lit(1)).groupBy("leaf", "t", "spare").agg(F.count("*").alias("docs")), "docs")
+    sure = docs_of.where(F.col("docs") >= F.when(F.col("spare") < 0, LONG_DOCS).otherwise(least_docs))
+    # One more field: a template is named by its hash without one token's; rare ones have fewer than least_docs rows each.
+    open_ = template.where("spare > 0").select(*line, "t").join(cells.where("hash is not null").select(*line, "hash"), line).select("leaf", "t", "hash").distinct()
+    wider = open_.select("leaf", "t", F.col("t").bitwiseXOR(F.col("hash")).alias("g")).union(docs_of.where("spare >= 0").select("leaf", "t", F.col("t").alias("g")))
+    wider = stored(wider.join(docs_of.where("spare >= 0").select("leaf", "t", (F.col("docs") >= least_docs).alias("sure")), ["leaf", "t"]), "wider")
+    rare = wider.where("not sure").select("leaf", "t", "g")
+    by_sure = wider.where("sure").select("leaf", "g").distinct()
+    rows = found.where("spare >= 0").select("leaf", "t", "row").distinct().join(rare, ["leaf", "t"]).select("leaf", "g", "row").distinct()
+    enough = rows.groupBy("leaf", "g").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "g")
+    enough = stored(by_sure.union(enough).distinct(), "enough")
+    merged = rare.join(enough, ["leaf", "g"]).groupBy("leaf", "t").agg(F.min("g").alias("g"))
+    group = sure.select("leaf", "t", F.col("t").alias("g")).union(merged)
+    group = stored(group, "groups")
+    gone = found.join(group, ["leaf", "t"]).select("leaf", "g", "row", "lines")
+    if keep_first:
+        first = gone.groupBy("leaf", "g").agg(F.min(F.struct("row", F.array_min("lines").alias("line"))).alias("first"))
+        gone = stored(gone, "gone")
+        gone = gone.join(stored(first, "first"), ["leaf", "g"]).select("row", F.when(F.col("row") == F.col("first.row"), F.filter("lines", lambda x: x != F.col("first.line"))).otherwise(F.col("lines")).alias("lines"))
+    return gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")).where(F.size("lines") > 0)
 
 
 def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars", counts: bool = False, **options) -> DataFrame:
     """docs, columns as they were, without the recurring lines of its texts; its length column, if any, counted anew.
 
-    Texts without such lines stay as they are, also null and empty ones; no row is left out. counts adds columns
-    n_lines and n_dropped. docs must give its rows in one order each time it is read, as a table of files does.
+    Texts without such lines stay as they are, also null and empty ones; no row is left out, and an empty table stays
+    empty. counts adds columns n_lines and n_dropped, in place of columns of these names.
     """
-    drop = recurring(docs, text=text, **options).select(F.col("row").alias("__vecmesh_drop"), F.col("lines").alias("__vecmesh_lines"))
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__vecmesh_row")).join(drop.hint("merge"), F.col("__vecmesh_row") == F.col("__vecmesh_drop"), "left")
-    rows = rows.drop("__vecmesh_row", "__vecmesh_drop")
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
+    row, gone, lines = (fresh(docs, c) for c in ("row", "gone", "lines"))
+    rows = numbered(docs, row)
+    defaults = {"least_docs": LEAST_DOCS, "least_tokens": LEAST_TOKENS, "similar": SIMILAR, "keep_first": True}
+    drop = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), **(defaults | options))
+    drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop")
+    rows = rows.join(drop.hint("merge"), F.col(row) == F.col(gone), "left").drop(row, gone)
     at, size = docs.columns.index(text), len(docs.columns)
     count = docs.columns.index(length) if length in docs.columns else None
     extra = ["n_lines", "n_dropped"] if counts else []
@@ -212,8 +183,8 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
         for part in text_slices(batches, text):
             old, columns = part.column(at).to_pylist(), list(part.columns[:size])
             new, sizes, fewer = [], [], []
-            for value, lines in zip(old, part.column(size).to_pylist()):
-                gone = set(lines or ())
+            for value, own in zip(old, part.column(size).to_pylist()):
+                gone = set(own or ())
                 parts = value.split("\n") if value else []
                 new.append("\n".join([p for k, p in enumerate(parts) if k not in gone]) if gone else value)
                 sizes.append(len(parts)), fewer.append(len(gone))
@@ -225,4 +196,4 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in extra)])
-    return rows.mapInArrow(cut, schema)
+    return mapped(rows, cut, schema)
