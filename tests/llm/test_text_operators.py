@@ -11,7 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecmesh.llm import entries, line_dedup, ngram_join, packing, pieces, secrets, sharding, substr_dedup, windows
+from pyspark.sql import functions as F
+
+from vecmesh.llm import common, entries, line_dedup, ngram_join, packing, pieces, secrets, sharding, substr_dedup, windows
 
 from . import helpers
 
@@ -77,7 +79,59 @@ def test_prefixes_of_similar_sets_meet():
         both = rng.integers(0, 2**63, rng.integers(1, 80), dtype=np.uint64)
         x, y = (np.unique(np.append(both, rng.integers(0, 2**63, rng.integers(0, len(both) // 8 + 1), dtype=np.uint64))) for _ in range(2))
         true = 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
-        assert ngram_join.similar(x, y, ngram_join.hash_prefixes(x), ngram_join.hash_prefixes(y)) == true
+        assert ngram_join.similar(x, y) == true
+        assert not true or all(len(np.intersect1d(a, b)) for a, b in zip(ngram_join.hash_prefixes(x), ngram_join.hash_prefixes(y)))
+
+
+def test_ngram_join_of_many_unlike_sets_with_a_common_token(spark, tmp_path, monkeypatch):
+    """Keys of more than PAIRED sets are combined with the next orders' tokens, and lose no link."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    rng = np.random.default_rng(6)
+    shared = [f"s{i}" for i in range(14)]
+    texts = []
+    for i in range(90):
+        own = [f"o{i}x{k}" for k in range(int(rng.integers(3, 30)))]
+        texts.append(" ".join(shared + own))
+        if i % 6 == 0:
+            texts.append(" ".join([f"n{i}", *shared, *own]))
+    helpers.documents(tmp_path / "documents.parquet", texts)
+    sets = [helpers.shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = helpers.components(links, range(len(sets)))
+    assert len(set(group.values())) > 20
+    assert rows_of(entries.op1_ngram_join(spark, str(tmp_path)), "doc_id", "component_id") == sorted(group.items(), key=repr)
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t a").mkdir()
+    for k in range(3):
+        pq.write_table(pa.table({"v": pa.array(range(k * 1000, k * 1000 + 1000), pa.int64()), "row": pa.array([k] * 1000)}), tmp_path / "t a" / f"part {k}%.parquet", row_group_size=100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def numbers(table):
+        return {r["v"]: r["at"] for r in common.numbered(table, "at").collect()}
+
+    read = lambda: spark.read.parquet(str(tmp_path / "t a"))
+    once = numbers(read().where("v % 3 = 0").select("v"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        assert numbers(read()).items() >= once.items() and len(set(numbers(read()).values())) == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    table = read()
+    for other in (table.join(table.select(table["v"].alias("w")), F.col("v") == F.col("w")).select("v", "row"), table.select(F.explode(F.array("v", "v")).alias("v")), spark.range(50).select(F.col("id").alias("v"))):
+        at = common.numbered(other, "at")
+        assert at.select("at").distinct().count() == other.count() and sorted(map(tuple, at.collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(i, 0) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(1100, 7), (5000, 5000)]
+    found = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "hi long, lo long").repartition(7)).collect()}
+    assert found == {n: 0 for n in [*range(1, 300), *range(1000, 1201)]}
 
 
 def plain_spans(text):
@@ -276,13 +330,112 @@ def test_line_dedup(spark, awkward):
             assert r["n_chars"] == len(r["text"])
 
 
-def test_line_templates():
-    lines = [f"user {n} logged in from {c}".split() for n, c in zip(["ann", "bob", "eve"], ["paris"] * 3)] + ["something else with six tokens here".split()]
-    belongs, templates = line_dedup.parse(lines, [1, 1, 1, 1], similar=0.7)
-    assert belongs[0] == belongs[1] == belongs[2] != belongs[3] and templates[belongs[0]] == ["user", "<*>", "logged", "in", "from", "paris"]
+def plain_drops(texts, least=10, similar=0.7):
+    """The lines that line dedup drops, by definition: {row: places}. Also which groups they belong to."""
+    tokens = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n") if t else ()):
+            tokens[i, k] = tuple(line_dedup.tokens_of(line))
+    leaf = lambda t: (len(t), t[:3])
+    known = {k: t for k, t in tokens.items() if len(t) >= 3}
+    busy = Counter(v for v in {(i, leaf(t)) for (i, _), t in known.items()})
+    busy = {x for x, n in Counter(v for _, v in busy).items() if n >= least}
+    known = {k: t for k, t in known.items() if leaf(t) in busy}
+    docs = Counter(t for _, t in {(i, t) for (i, _), t in known.items()})
+    weight = Counter()
+    for t, n in docs.items():
+        for p in range(3, len(t)):
+            weight[leaf(t), p, t[p]] += n
+
+    def template(t):
+        return tuple(x if p < 3 or weight[leaf(t), p, x] >= least else None for p, x in enumerate(t))
+
+    of = {k: (leaf(t), template(t)) for k, t in known.items()}
+    fields = lambda x: sum(v is None for v in x[1])
+    of = {k: x for k, x in of.items() if fields(x) <= len(x[1]) * (1 - similar) + 1e-9}
+    rows = defaultdict(set)
+    for (i, _), x in of.items():
+        rows[x].add(i)
+    sure = {x for x in rows if len(rows[x]) >= least}
+
+    def wider(x):
+        more = [(x[0], (*x[1][:p], None, *x[1][p + 1 :])) for p in range(3, len(x[1])) if x[1][p] is not None]
+        return [x, *(more if fields(x) + 1 <= len(x[1]) * (1 - similar) + 1e-9 else [])]
+
+    met = defaultdict(set)
+    for x in rows:
+        for g in wider(x):
+            met[g] |= set(range(-least, 0)) if x in sure else rows[x]
+    drops = defaultdict(list)
+    for k, x in of.items():
+        groups = [x] if x in sure else [g for g in wider(x) if len(met[g]) >= least]
+        if groups:
+            drops[k] = [(g, "template") for g in groups]
+    same = defaultdict(set)
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n") if t else ()):
+            if len(line.split()) >= 50:
+                same[tuple(line.split())].add((i, k))
+    for w, at in same.items():
+        if len({i for i, _ in at}) >= 2:
+            for k in at:
+                drops[k].append((w, "same"))
+    return drops
+
+
+def check_drops(spark, path, texts):
+    """All lines of groups that recur go, but at most one line of each group of a template stays."""
+    helpers.documents(path / "documents.parquet", texts)
+    drops = plain_drops(texts)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    everything = {(r["row"], k) for r in line_dedup.recurring(docs, keep_first=False).collect() for k in r["lines"]}
+    assert everything == set(drops)
+    found = {(r["row"], k) for r in line_dedup.recurring(docs).collect() for k in r["lines"]}
+    kept = everything - found
+    assert found <= everything and len(kept) <= len({g for groups in drops.values() for g in groups}) and (kept or not everything)
+    return everything
+
+
+def test_lines_against_the_definition(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    word = lambda n: words[int(rng.integers(0, n))]
+    texts = [None, "", "\n", "a b"]
+    for i in range(160):
+        lines = [f"user {word(26)} logged in from {word(3)} again", f"the set of {word(5)} {word(26)} {word(26)} {word(2)} is here today", f"page {i} of the report", f"one two three {word(26)}"]
+        lines += [" ".join(["long", *(f"x{chr(97 + k % 26)}" for k in range(50)), word(12)])]
+        texts.append("\n".join(lines[int(j)] for j in rng.permutation(5)[: rng.integers(0, 6)]))
+    assert len(check_drops(spark, tmp_path, texts)) > 100
+
+
+def test_lines_of_the_smallest_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    check_drops(spark, tmp_path, [r["text"] for r in docs.collect()])
+
+
+def test_line_tokens():
     assert line_dedup.tokens_of("at 10:30  id=ab3 go") == ["at", "<*>", "<*>", "go"]
 
 
+@pytest.mark.parametrize("others", [0, 5000])
+def test_drops_do_not_depend_on_the_rest_of_a_leaf(spark, tmp_path, others):
+    """A template with two variable fields, alone or beside thousands of unlike lines of the same leaf."""
+    rng = np.random.default_rng(1)
+    name = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    planted = [f"the parcel for {name()} {name()} was left at the door today" for _ in range(12)]
+    unlike = [" ".join(["the parcel for", *(name() for _ in range(8))]) for _ in range(others)]
+    helpers.documents(tmp_path / "documents.parquet", planted + unlike)
+    out = {r["doc_id"]: r["n_dropped"] for r in entries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert sum(out.values()) == sum(out[i] for i in range(12)) == 11
+
+
+def test_line_counts_take_the_place_of_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, "x")], "doc_id long, text string, n_lines long, n_dropped long, __vecmesh_row string")
+    out = line_dedup.remove(docs, counts=True)
+    assert out.columns == ["doc_id", "text", "__vecmesh_row", "n_lines", "n_dropped"] and [tuple(r) for r in out.collect()] == [(1, "a b c d", "x", 1, 0)]
+    assert [tuple(r) for r in ngram_join.keep_one(docs).collect()] == [(1, "a b c d", 5, 6, "x")]
+
+
 def test_line_template_in_a_large_leaf(spark, tmp_path):
     """A template whose variable field is the fourth token is one template, however many other lines its leaf has."""
     words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
@@ -305,14 +458,6 @@ def test_long_lines_recur_in_two_documents(spark, tmp_path):
     assert out == {0: 0, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
-def test_line_template_index(monkeypatch):
-    rng = np.random.default_rng(4)
-    lines = [["a", "b", "c", *(str(chr(97 + x)) if x else line_dedup.FIELD for x in rng.integers(0, 9, 7))] for _ in range(1500)]
-    whole = line_dedup.parse(lines, [1] * len(lines))
-    monkeypatch.setattr(line_dedup, "INDEXED", 10**9)
-    assert line_dedup.parse(lines, [1] * len(lines)) == whole and len(whole[1]) > 300
-
-
 @pytest.mark.parametrize("block", [packing.BLOCK_IDS, 5000])
 def test_packing(spark, awkward, block, monkeypatch):
     import tokenizers

@@ -64,7 +64,7 @@ def test_dedup_blocks_and_lists(spark, monkeypatch):
     for name, value in (("LIST_ROWS", 40), ("BLOCK", 64), ("PAIRS", 500), ("SAMPLE_ROWS", 600)):
         monkeypatch.setattr(embed_dedup, name, value)
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = embed_dedup.links(docs, probes=12)
+    found = embed_dedup.links(docs)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     true = (unit @ unit.T >= 0.95).sum() - len(x)
     got = {r["vec_id"]: r for r in found.collect()}
@@ -83,7 +83,7 @@ def test_lookup_distances_are_of_the_codes():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 8))
     q = embed_dedup.Quantiser(x, 5)
-    home = embed_dedup.nearest(x, q.centres, 1)[:, 0]
+    home = embed_dedup.nearest(x, q.centres)
     codes, error = q.encode(x, home)
     for l in range(len(q.centres)):
         back = q.centres[l] + np.concatenate([w[codes[home == l][:, s]] for s, w in enumerate(q.words)], axis=1)
@@ -131,14 +131,62 @@ def test_tree_leaves_out_distances():
     rng = np.random.default_rng(1)
     x = np.floor(np.repeat(rng.normal(size=(40, 5)) * 5000, 50, axis=0) + rng.normal(size=(2000, 5)) * 30)
     tree = topk.MTree(np.arange(2000), x)
+    tree = topk.MTree.from_bytes(tree.to_bytes())
     query, best = x[0], []
-
-
     tree.search(query, 0, 5, -np.inf, best)
     scores = x @ query
     order = [i for i in np.lexsort((np.arange(2000), -scores)) if i != 0][:5]
     assert sorted(best, reverse=True) == [(scores[i], -i) for i in order]
-    assert all(len(o) <= topk.PAGE or c is not None for o, c in zip(tree.objects, tree.children))
+    for page in range(len(tree.start) - 1):
+        own = slice(tree.start[page], tree.start[page + 1])
+        assert (tree.child[own] >= 0).all() or ((tree.child[own] < 0).all() and own.stop - own.start <= topk.PAGE)
+
+
+def test_tree_bounds_hold():
+    """Whatever lies below an entry is within its radius of the routing object, at the stored distance from the parent."""
+    rng = np.random.default_rng(4)
+    tree = topk.MTree(np.arange(3000), np.floor(rng.normal(size=(3000, 6)) * 100))
+
+    def below(page, centre):
+        rows = []
+        for e in range(tree.start[page], tree.start[page + 1]):
+            assert abs(np.linalg.norm(tree.lifted[tree.object[e]] - tree.lifted[centre]) - tree.parent[e]) < 1e-6
+            if tree.child[e] < 0:
+                rows.append(tree.object[e])
+                continue
+            own = below(tree.child[e], tree.object[e])
+            assert np.linalg.norm(tree.lifted[own] - tree.lifted[tree.object[e]], axis=1).max() <= tree.radius[e] + 1e-6
+            rows += own
+        return rows
+
+    assert sorted(below(0, tree.root)) == list(range(3000))
+
+
+def test_searching_leaves_out_pages(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.floor(np.repeat(rng.normal(size=(40, 5)) * 5000, 50, axis=0) + rng.normal(size=(2000, 5)) * 30)
+    tree, seen = topk.MTree(np.arange(2000), x), []
+    monkeypatch.setattr(topk.heapq, "heappop", lambda queue, pop=topk.heapq.heappop: seen.append(1) or pop(queue))
+    tree.search(x[0], 0, 5, -np.inf, [])
+    assert len(seen) < (len(tree.start) - 1) / 2
+
+
+@pytest.mark.parametrize("lists", [256, 1024])
+def test_recall_of_the_probes(lists):
+    """Of true links, at least 0.9 lie in a probed list, for spread-out and for clustered vectors; all do at the full spread."""
+    rng = np.random.default_rng(lists)
+    for centres in (1, 2000):
+        x = rng.normal(size=(40_000, 32)) + (rng.normal(size=(centres, 32))[rng.integers(0, centres, 40_000)] if centres > 1 else 0)
+        x[:5000] = x[5000:10_000] * (1 + 0 * x[:5000]) + rng.normal(size=(5000, 32)) * rng.uniform(0.05, 0.3, size=(5000, 1)) * np.linalg.norm(x[5000:10_000], axis=1)[:, None] / np.sqrt(32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        words = embed_dedup.kmeans(x[rng.permutation(len(x))[: 8 * lists]], lists, 3, rng)
+        similar = np.flatnonzero((x[:5000] * x[5000:10_000]).sum(axis=1) >= 0.95)
+        home = embed_dedup.nearest(x[5000 + similar], words)
+        radius = np.sqrt(0.1)
+        for spread, least in ((embed_dedup.SPREAD, 0.97), (np.sqrt(32), 1.0)):
+            _, probes = embed_dedup.probed(x[similar], words, radius * min(1, spread / np.sqrt(32)))
+            met = np.mean([h in p for h, p in zip(home, probes)])
+            assert len(similar) > 1000 and met >= least
 
 
 def test_components(spark):
