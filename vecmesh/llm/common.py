@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 #: While a table is written: small Arrow batches, and the shuffle files of its plan go when it is done.
 WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Size of a sieve; a power of two.
+SIEVE_BITS = 1 << 26
 #: Bits of a row number that count within a file.
 IN_FILE = 36
 _lock = threading.RLock()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir. It must be set: a folder of one machine wouldn't do."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """The session with these settings, and afterwards as it was."""
@@ -46,10 +43,25 @@ def settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(kept: list[DataFrame]):
+    """Tables stored inside are deleted at the end, but those that are in `kept` by then."""
+    token = _scratch.set([])
+    try:
+        yield
+        names = {f for df in kept for f in df.inputFiles()}
+        drop(*(df for df in _scratch.get() if not names.intersection(df.inputFiles())))
+    finally:
+        _scratch.reset(token)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter.
 
-    The table goes when the driver's JVM ends.
+    The table goes at the end of scratch(), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecmesh/{name}-{uuid.uuid4().hex}"
@@ -59,7 +71,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scratch.get() is not None:
+        _scratch.get().append(out)
+    return out
 
 
 def drop(*tables: DataFrame) -> None:
@@ -78,6 +93,31 @@ def sampled(share: float, *key: str) -> Column:
     return F.xxhash64(*key, F.lit("sample")) < -(1 << 63) + max(1, int(share * (1 << 64)))
 
 
+class Sieve:
+    """Whether keys (64-bit hashes) may be in a table: SIEVE_BITS bits by their low bits, set for the table's keys.
+
+    It has one size whatever the table's, so it may be broadcast; the more keys, the less it keeps back. A join with
+    the table itself must follow.
+    """
+
+    def __init__(self, table: DataFrame, key: str):
+        bit = table.select(F.col(key).bitwiseAND(F.lit(SIEVE_BITS - 1).cast("long")).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+        own = np.zeros(SIEVE_BITS >> 6, np.uint64)
+        own[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+        self.send = table.sparkSession.sparkContext.broadcast(own)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """For an unsigned array of keys: False where a key is surely not in the table."""
+        bit = keys & np.uint64(SIEVE_BITS - 1)
+        return (self.send.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+    def test(self, key: int) -> bool:
+        """passes() of one signed key."""
+        bit = key & (SIEVE_BITS - 1)
+        return bool(int(self.send.value[bit >> 6]) >> (bit & 63) & 1)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have."""
     taken, out = {c.lower() for c in docs.columns}, f"__vecmesh_{name}"

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Table, fresh, mapped, numbered, stored, text_slices
+from .common import Sieve, Table, fresh, mapped, numbered, scratch, stored, text_slices
 
 DEPTH = 3
 LEAST_TOKENS = 3
@@ -51,6 +51,8 @@ def _hash(*tokens: str) -> int:
 class TokenTable(Table):
     """Token -> its 64-bit hash."""
 
+    most = 50_000
+
     def make(self, key: str) -> int:
         return _hash(key)
 
@@ -76,8 +78,9 @@ def _leaves(least: int):
     return run
 
 
-def _lines(least: int):
+def _lines(least: int, sieve: Sieve):
     """Rows (row, lines, leaf, long, masked, tokens): a text's distinct masked lines and, word for word, its long ones.
+    Those of leaves that the sieve keeps back are left out.
 
     lines are the places at which it stands, masked names it, tokens are the hashes of those behind the leading ones.
     """
@@ -90,13 +93,12 @@ def _lines(least: int):
             for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
                 for k, line in enumerate(text.split("\n") if text else ()):
                     t = tokens_of(line)
-                    if len(t) >= least:
-                        key = (row, _hash(str(len(t)), *t[:DEPTH]), False, _hash(*t))
+                    if len(t) >= least and sieve.test(leaf := _hash(str(len(t)), *t[:DEPTH])):
+                        key = (row, leaf, False, _hash(*t))
                         found.setdefault(key, []).append(k)
                         if key not in tokens:
                             tokens[key] = [table[x] for x in t[DEPTH:]]
-                    if len(t) >= LONG_TOKENS:
-                        same = _hash("", *line.split())
+                    if len(t) >= LONG_TOKENS and sieve.test(same := _hash("", *line.split())):
                         found.setdefault((row, same, True, same), []).append(k)
             rows, leaf, long, masked = zip(*found) if found else ((),) * 4
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, v)]), pa.int32()), pa.array(list(chain.from_iterable(v)), kind)) for v, kind in ((list(found.values()), pa.int32()), ([tokens.get(k, ()) for k in found], pa.int64()))]
@@ -123,7 +125,7 @@ def _recurring(source: DataFrame, least_docs: int, least_tokens: int, similar: f
     line = ["leaf", "masked"]
     busy = mapped(source.select("text"), _leaves(least_tokens), "leaf long, long boolean").groupBy("leaf", "long").count()
     busy = stored(busy.where(F.col("count") >= F.when(F.col("long"), LONG_DOCS).otherwise(least_docs)).select("leaf", "long"), "busy")
-    held = mapped(source, _lines(least_tokens), "row long, lines array<int>, leaf long, long boolean, masked long, tokens array<long>")
+    held = mapped(source, _lines(least_tokens, Sieve(busy, "leaf")), "row long, lines array<int>, leaf long, long boolean, masked long, tokens array<long>")
     held = stored(held.join(busy, ["leaf", "long"]), "lines")
     masked = held.where("not long")
     distinct = masked.groupBy(*line).agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
@@ -171,8 +173,11 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     row, gone, lines = (fresh(docs, c) for c in ("row", "gone", "lines"))
     rows = numbered(docs, row)
     defaults = {"least_docs": LEAST_DOCS, "least_tokens": LEAST_TOKENS, "similar": SIMILAR, "keep_first": True}
-    drop = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), **(defaults | options))
-    drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop")
+    kept: list[DataFrame] = []
+    with scratch(kept):
+        drop = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), **(defaults | options))
+        drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop")
+        kept.append(drop)
     rows = rows.join(drop.hint("merge"), F.col(row) == F.col(gone), "left").drop(row, gone)
     at, size = docs.columns.index(text), len(docs.columns)
     count = docs.columns.index(length) if length in docs.columns else None
