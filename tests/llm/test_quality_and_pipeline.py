@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import tokenizers
 
 import corpus_pipeline
 from vecmesh.llm import entries, quality, secrets
 
 from . import helpers
+from .test_text_operators import check_packing, plain_drops
 
 DATA = "/root/testdata/sf0.01"
 
@@ -73,6 +75,27 @@ def test_flat_traversal_is_the_tree():
     assert quality.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_a_split_is_the_best_of_all():
+    """One tree of depth 1 against the gain of every edge between distinct values."""
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        x = rng.integers(0, 12, (200, quality.N_FEATURES)).astype(float)
+        y = (x[:, rng.integers(quality.N_FEATURES)] + rng.normal(size=200) * 3 > 6).astype(float)
+        tree = quality.fit(x, y, rounds=1, depth=1, bins=64, penalty=2.0, least=10)
+        p = np.full(200, 1 / (1 + np.exp(-tree.base)))
+        g, h = p - y, p * (1 - p)
+
+        def gain(right):
+            if min(right.sum(), (~right).sum()) < 10:
+                return 0.0
+            return sum(g[m].sum() ** 2 / (h[m].sum() + 2.0) for m in (right, ~right)) - g.sum() ** 2 / (h.sum() + 2.0)
+
+        best = max(gain(x[:, f] > t) for f in range(quality.N_FEATURES) for t in np.unique(x[:, f]))
+        right = x[:, tree.feature[0, 0]] > tree.threshold[0, 0]
+        assert np.isclose(gain(right), best)
+        assert np.allclose(tree.value[0], [-0.1 * g[m].sum() / (h[m].sum() + 2.0) for m in (~right, right)])
+
+
 def test_statistics_of_sliced_columns():
     column = pa.array(["AB c", None, "", "x\ny y"])
     whole = quality.statistics(column)
@@ -100,13 +123,29 @@ def test_pipeline(spark, tmp_path):
             docs = spark.read.parquet(f"{d}/{name}")
             kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
     good, lines, unique, safe = kept
+    trees = quality.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    scores = trees.score(quality.statistics(pa.array(texts, pa.string())))
+    assert good == {i: t for i, t in enumerate(texts) if scores[i] >= 0.3}
+    drops = plain_drops([good[i] for i in good])
+    for n, i in enumerate(good):
+        mine = (good[i] or "").split("\n") if good[i] else []
+        left = (lines[i] or "").split("\n") if lines[i] else []
+        may = [k for k in range(len(mine)) if (n, k) in drops]
+        assert len(mine) - len(left) <= len(may) and [x for k, x in enumerate(mine) if k not in may] == [x for x in left if x not in [mine[k] for k in may]]
+    sets = {i: helpers.shingles(t) for i, t in lines.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = helpers.components(near, sets)
+    assert unique == {i: t for i, t in lines.items() if group[i] == i}
+    assert safe == {i: secrets.redact(t) for i, t in unique.items()}
     assert set(range(60)) <= set(good) and not set(range(60, 100)) & set(good)
     assert set(lines) == set(good) and sum("All rights reserved" in (t or "") for t in lines.values()) == 1
     gone = set(lines) - set(unique)
     assert {100, 101} & set(good) == gone
     assert all(not [s for s in secrets.find(t) if s[0] != "guess"] for t in safe.values()) and any("[secret]" in (t or "") for t in safe.values())
     packed = corpus_pipeline.run(spark, d)
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(safe)
+    words = tokenizers.Tokenizer.from_file(entries.tokenizer("word_bpe_49k.json"))
+    rows = [r.asDict() | {"ids_crc32": zlib.crc32(r["ids"])} for r in packed.collect()]
+    check_packing(rows, [(i, np.array([*words.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in safe.items()])
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):

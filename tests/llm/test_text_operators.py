@@ -103,6 +103,24 @@ def test_ngram_join_of_many_unlike_sets_with_a_common_token(spark, tmp_path, mon
     assert rows_of(entries.op1_ngram_join(spark, str(tmp_path)), "doc_id", "component_id") == sorted(group.items(), key=repr)
 
 
+def test_sieve(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63, 3000)
+    sieve = common.Sieve(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"), "k")
+    passed = sieve.passes(keys.view(np.uint64))
+    assert passed[:1000].all() and passed[1000:].mean() < 0.01
+    assert [sieve.test(int(k)) for k in keys] == passed.tolist()
+    assert not common.Sieve(spark.createDataFrame([], "k long"), "k").passes(keys.view(np.uint64)).any()
+
+
+def test_samples_of_large_tables(spark):
+    """A share far below one in a million still chooses rows, one of 1 or more chooses all."""
+    rows = spark.range(2_000_000)
+    assert rows.where(common.sampled(1.0, "id")).count() == 2_000_000
+    assert 0 < rows.where(common.sampled(2e-5, "id")).count() < 120
+    assert abs(rows.where(common.sampled(0.25, "id")).count() - 500_000) < 5000
+
+
 def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -184,6 +202,47 @@ def test_guess_cost():
     assert kinds == ["guess"]
 
 
+def plain_cost(value):
+    """The cheapest of all segmentations, each segment priced alone."""
+    low = secrets._lower(value)
+    leet = low.translate(secrets._LEET)
+
+    def walk(i, j):
+        out = math.inf
+        for kind in secrets.WALKS:
+            steps = [kind.get(p) for p in zip(low[i:j], low[i + 1 : j])]
+            if j - i >= 3 and None not in steps:
+                out = min(out, secrets.WALK + len(steps) * secrets.STEP + sum(a != b for a, b in zip(steps, steps[1:])) * secrets.TURN)
+        return out
+
+    price = {}
+    for i in range(len(value)):
+        for j in range(i + 1, len(value) + 1):
+            price[i, j] = min(sum(map(secrets._alphabet, value[i:j])), walk(i, j))
+        for j, cost in secrets.segments(value, i, low, leet):
+            price[i, j] = min(price[i, j], cost)
+    best = math.inf
+    for cuts in range(1 << max(len(value) - 1, 0)):
+        at = [0, *(k + 1 for k in range(len(value) - 1) if cuts >> k & 1), len(value)]
+        best = min(best, sum(price[p] for p in zip(at, at[1:])) + secrets.SEGMENT * (len(at) - 2))
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["1qa", "qwe", "abc", "19", "2024", "pass", "P4ss", "the", "x", "7", "aa", "zz", "é", "!", "q1", "ab"]), min_size=1, max_size=5).map("".join).map(lambda t: t[:11]))
+def test_guess_cost_against_all_segmentations(value):
+    assert abs(secrets.guess_cost(value) - plain_cost(value)) < 1e-9
+
+
+def test_walks_turn_and_blocks_repeat():
+    cost = secrets.guess_cost
+    assert cost("1qaz2wsx") < secrets.LEAST_COST and cost("zaq12wsx!") < secrets.LEAST_COST and cost("xkqxkqxkqxkq") < 6 and cost("correct1correct1") < 6
+    assert cost("xqzjkvwpfhmtrbnq") > secrets.LEAST_COST and cost("xqzjkvwpfhmtrbn7") > secrets.LEAST_COST
+    assert cost("qwedsazxc") < cost("qpwoeirut")
+    text = " ".join(f"token=secret{i}abcdefgh pwd: zQ9xKfW{i}vT" for i in range(3000))
+    assert sum(s[0] == "guess" for s in secrets.find(text)) == 3000
+
+
 def test_letters_pay_for_themselves():
     """Letters that no list holds are brute force, whatever else the value has; listed words stay cheap."""
     for text in ("private_key: QmxzkWvbNpLrTyHs", "passphrase=" + "qzjxkwvbmh" * 4, "pwd=xkqzjwvpbnmtrhd7", "pwd=xkqzjwvp", "token: Wvqkzrmpj"):
@@ -238,6 +297,46 @@ def test_sharding(spark, awkward):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shard.values())
 
 
+def test_shards_are_the_highest_scores(spark):
+    import struct
+
+    import xxhash
+
+    def score(key, shard):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return -1.0 / math.log(((xxhash.xxh64_intdigest(f"shard-{shard}".encode(), h) >> 11) + 0.5) * 2.0**-53)
+
+    rows = spark.range(-50, 500)
+    for r in rows.select("id", sharding.shard_of(rows["id"], [1.0] * 16).alias("a"), sharding.shard_of(rows["id"], [1.0] * 17).alias("b")).collect():
+        scores = [score(r["id"], s) for s in range(17)]
+        assert r["a"] == int(np.argmax(scores[:16])) and r["b"] == int(np.argmax(scores))
+
+
+def test_texts_longer_than_a_slice(spark, tmp_path):
+    """Texts of over a megabyte, whole and beside short ones, in every text operator."""
+    import sentencepiece
+    import tokenizers
+
+    long = helpers.prose(77, 260_000)
+    texts = ["short", long, long[: len(long) // 2] + " password = abcdefghijkl99 " + helpers.prose(78, 1000), long + " end", None]
+    assert len(long) > 1 << 20
+    helpers.documents(tmp_path / "documents.parquet", texts)
+    d = str(tmp_path)
+    sets = [helpers.shingles(t) for t in texts]
+    linked = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entries.op1_ngram_join(spark, d).collect()}
+    assert linked == {i: (len(s), 1 if i == 3 else i) for i, s in enumerate(sets)}
+    assert {r["doc_id"]: r["n_assign"] for r in entries.op2_secret_scan(spark, d).collect()}[2] == 1
+    lib = sentencepiece.SentencePieceProcessor(model_file=entries.tokenizer("piece_bpe_32k.model"))
+    found = {r["doc_id"]: r["ids_sha256"] for r in entries.op4_sentencepiece(spark, d).collect()}
+    assert found[2] == hashlib.sha256(" ".join(map(str, lib.encode(texts[2], add_eos=True))).encode()).hexdigest()
+    removed = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in entries.op6_substring_dedup(spark, d).collect()}
+    n = len(long.encode())
+    assert removed[1] == (n, n) and removed[3] == (n + 4, n) and removed[0] == (5, 0)
+    assert {r["doc_id"] for r in entries.op8_line_dedup(spark, d).collect()} == set(range(5))
+    words = tokenizers.Tokenizer.from_file(entries.tokenizer("word_bpe_49k.json"))
+    check_packing(entries.op9_packing(spark, d).collect(), [(i, np.array([*words.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in enumerate(texts)])
+
+
 def test_shards_by_weight(spark):
     rows = spark.range(20_000)
     counts = {r["s"]: r["count"] for r in rows.select(sharding.shard_of(rows["id"], [1, 2, 0, 1]).alias("s")).groupBy("s").count().collect()}
