@@ -1,13 +1,14 @@
 """Collections: writes, search over both tiers, flush, split, merge, restart, streams and the command line."""
 
 import json
+from threading import Thread
 
 import numpy as np
 import pytest
 
 from vecmesh import cli
 from vecmesh.operators import evaluate, search
-from vecmesh.schema import InvalidInput, NotFound
+from vecmesh.schema import Conflict, InvalidInput, NotFound
 from vecmesh.sources import generators
 from vecmesh.sources.collection import Engine
 from vecmesh.streaming.ingest import ingest
@@ -197,11 +198,145 @@ def test_verify(spark, engine, tmp_path):
     assert c.verify() == []
     lost = next((tmp_path / "a/rows/part=1").rglob("*.parquet"))
     lost.write_bytes(b"short")
-    assert len(c.verify("warn")) == 1
+    assert len(c.verify("warn")) == 1 and c.verify(most=1)
     with pytest.raises(OSError):
         c.verify()
 
 
+def test_verify_sees_changed_bytes_of_one_size(spark, engine, tmp_path):
+    c = engine.create("a", 2)
+    c.insert(frame(spark, [(1, [0, 0])]))
+    c.flush()
+    one = next((tmp_path / "a/codes/part=1").rglob("*.parquet"))
+    data = bytearray(one.read_bytes())
+    data[10] ^= 1
+    one.write_bytes(bytes(data))
+    (one.parent / f".{one.name}.crc").unlink(missing_ok=True)
+    assert [w.split("/")[0] for w in c.verify("warn")] == ["codes"]
+
+
+def test_writers_side_by_side(spark, engine):
+    """Inserts, flushes and ticks at once lose no write."""
+    c = engine.create("a", 2, capacity=40)
+    c.insert(frame(spark, [(i, [i, i]) for i in range(60)]))
+    c.flush()
+    failed = []
+
+    def write(n):
+        try:
+            own = Engine(spark, c.files.root).open("a")
+            for k in range(3):
+                own.insert(frame(spark, [(1000 * n + 10 * k + j, [n, k]) for j in range(4)]))
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    def upkeep(act):
+        try:
+            for _ in range(3):
+                act(Engine(spark, c.files.root).open("a"))
+        except Conflict:
+            pass
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [Thread(target=write, args=(n,)) for n in (1, 2, 3)] + [Thread(target=upkeep, args=(a,)) for a in (lambda o: o.flush(), lambda o: o.touch([0]), lambda o: o.maintain())]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    expected = {*range(60), *(1000 * n + 10 * k + j for n in (1, 2, 3) for k in range(3) for j in range(4))}
+    assert {r["id"] for r in c.live().collect()} == expected
+    c.flush()
+    assert {r["id"] for r in c.base().collect()} == expected and c.verify() == []
+    assert c.centroids().agg({"n": "sum"}).first()[0] == len(expected)
+
+
+def test_a_flush_waits_for_open_claims(spark, engine):
+    c = engine.create("a", 1)
+    c.insert(frame(spark, [(1, [1])]))
+    seq = c._claim()  # a writer that has begun
+    c.insert(frame(spark, [(2, [2])]))
+    assert c.flush() and c.state().flushed == 1 and c.log_sizes()["rows"] == 1
+    assert not c.flush() and found(c, [0]) == [(1, 1.0), (2, 4.0)]
+    c.vacuum(sweep_after=-1)  # it never came
+    assert c.flush() and c.state().flushed == seq + 1 and found(c, [0]) == [(1, 1.0), (2, 4.0)]
+
+
+def test_one_of_several_gets_a_name(engine):
+    assert [engine.files.create("x/claim", "a"), engine.files.create("x/claim", "b")] == [True, False] and engine.files.read("x/claim") == "a"
+
+
+def test_an_overtaken_publication_starts_anew(spark, engine):
+    c = engine.create("a", 1)
+    c.insert(frame(spark, [(1, [1])]))
+    before = c.state()
+    c.flush()
+    with pytest.raises(Conflict):
+        c._commit(before, before)
+
+
+def test_centroids_follow_updates(spark, engine):
+    """Sums of parts, less what later writes hide, are the means of the live rows."""
+    rng = np.random.default_rng(4)
+    c = engine.create("a", 3, capacity=30)
+    for step in range(4):
+        c.insert(frame(spark, [(int(i), rng.normal(size=3) + 8 * (i % 2)) for i in rng.integers(0, 90, 40)]))
+        c.delete(ids_frame(spark, *map(int, rng.integers(0, 90, 5))))
+        c.flush()
+        c.maintain()
+    base = c.base().collect()
+    for r in c.centroids().collect():
+        own = np.array([x["embedding"] for x in base if x["bucket_id"] == r["bucket_id"]])
+        assert r["n"] == len(own) and np.allclose(r["centroid"], own.mean(axis=0))
+    assert sum(r["n"] for r in c.centroids().collect()) == len(base) == c.live().count()
+
+
+def test_first_flush_into_several_buckets(spark, engine):
+    c = engine.create("a", 4, capacity=100)
+    c.insert(generators.clusters(spark, 500, 4, sigma=2.0))
+    c.flush(bootstrap=True)
+    assert 3 <= c.centroids().count() <= 5 and c.base().count() == 500
+
+
+def test_search_reads_routed_buckets_alone(spark, engine):
+    c = engine.create("a", 4)
+    rows = generators.clusters(spark, 300, 4, centres=6, sigma=1.0)
+    c.adopt(rows.selectExpr("id", "embedding", "cast(id % 6 as int) as bucket_id"))
+    asked = rows.where("id < 2").withColumnRenamed("id", "query_id")
+    for options in ({}, {"two_stage": True}):
+        found = c.search(asked, 3, target=0.1, decay=3.0, density=1.0, **options)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [bucket_id" in plan and found.count() == 6
+    assert c._touched and set(c._touched.values()) == {2}
+    with pytest.raises(InvalidInput):
+        c.adopt(rows.selectExpr("id", "slice(embedding, 1, 2) as embedding", "0 as bucket_id"))
+
+
+def test_other_formats_are_refused(spark, engine, tmp_path):
+    engine.create("a", 2)
+    meta = json.loads((tmp_path / "a/meta.json").read_text())
+    (tmp_path / "a/meta.json").write_text(json.dumps(meta | {"format": 99}))
+    (tmp_path / "a/.meta.json.crc").unlink(missing_ok=True)
+    with pytest.raises(InvalidInput):
+        engine.open("a")
+
+
+def test_split_with_a_cap(spark, engine):
+    c = engine.create("a", 2)
+    c.adopt(spark.createDataFrame([(i, [float(20 * (i % 2)), 0.0], 0) for i in range(30)] + [(100 + i, [9.5, 0.0], 0) for i in range(10)] + [(200, [9.5, 0.0], 1)], "id long, embedding array<float>, bucket_id int"))
+    assert c.split(0) == "skipped: too small" and c.split(0, loopback=0.2) == "split 0"
+    sizes = {r["bucket_id"]: r["n"] for r in c.centroids().collect()}
+    assert sum(sizes.values()) == 41 and sizes[1] <= 9 and 0 not in sizes
+
+
+def test_exposition(spark, engine):
+    c = engine.create("a", 1)
+    c.insert(frame(spark, [(1, [1])]))
+    found(c, [0])
+    assert 'vecmesh_inserts{collection="a"} 1\n' in c.exposition() and 'vecmesh_searches{collection="a"} 1\n' in c.exposition()
+
+
 def test_entry_without_the_pipeline_operators(monkeypatch):
     import importlib
     import sys
@@ -212,3 +347,20 @@ def test_entry_without_the_pipeline_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "exact_knn_l2" in entry.queries() and not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert entry.oracle_sql()
+
+
+def test_hot_buckets(spark, engine):
+    c = engine.create("a", 2)
+    rows = [(i, [float(10 * (i % 5)), float(i % 7)]) for i in range(200)]
+    c.adopt(spark.createDataFrame([(i, v, i % 5) for i, v in rows], "id long, embedding array<float>, bucket_id int"))
+    plain = found(c, [0, 0], target=0.1, decay=1.0, density=1.0)
+    c.keep_hot(buckets=3, rows=90)
+    for _ in range(3):
+        assert found(c, [0, 0], target=0.1, decay=1.0, density=1.0) == plain
+    assert set(c.hot.held) <= {0, 1, 2} and len(c.hot.held) == 2 and c.hot.loads == 2  # 40 rows each: two fit
+    c.insert(frame(spark, [(0, [500, 500]), (1000, [0.5, 0])]))
+    assert found(c, [0.5, 0], 1, target=0.1, decay=1.0, density=1.0) == [(1000, 0.0)]
+    c.flush()
+    assert found(c, [0.5, 0], 1, target=0.1, decay=1.0, density=1.0) == [(1000, 0.0)]
+    c.keep_hot(0, 0)
+    assert c.hot is None

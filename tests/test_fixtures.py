@@ -116,8 +116,105 @@ def test_defectors():
     x = np.array([[0, 0]] * 40 + [[100, 100]] * 40 + [[130, 130]] * 10, float)
     half, out = cluster.split_rows(x, np.array([[0, 0], [106.0, 106.0]]), np.array([[140, 140.0]]))
     assert out.sum() == 10 and out[80:].all() and (np.bincount(half[~out]) == 40).all()
-    x = np.array([[0, 0]] * 5 + [[20, 20]] * 5 + [[9, 9]] * 15, float)
-    assert cluster.split_rows(x, np.array([[0, 0], [20, 20.0]]), np.array([[9, 9.0]]), cap=0.2)[1].sum() == 5
+
+
+def test_capped_split(spark):
+    x = [[0, 0]] * 5 + [[20, 20]] * 5 + [[9, 9]] * 15
+    own = frame(spark, [(i, v) for i, v in enumerate(x)], VEC)
+    moved = cluster.defectors(own, np.array([[0, 0], [20, 20.0]]), np.array([[9, 9.0]]))
+    assert moved.where("defects").count() == 15
+    moved = cluster.capped(moved)
+    assert sorted(r["id"] for r in moved.where("defects").collect()) == [10, 11, 12, 13, 14] and moved.count() == 25
+    means = {(r["half"], r["pos"]): (r["n"], r["mean"]) for r in cluster.half_means(own, moved).collect()}
+    assert means[0, 0] == (15, 6.0) and means[1, 1] == (5, 20.0)
+
+
+def test_mini_batches(spark):
+    rng = np.random.default_rng(2)
+    centres = np.array([[0, 0], [50, 0], [0, 50.0]])
+    rows = frame(spark, [(i, centres[i % 3] + rng.normal(size=2)) for i in range(3000)], VEC)
+    for metric in ("L2",):
+        found = cluster.kmeans(rows, 3, 2, metric, batch=200, seed=3)
+        assert np.abs(found[:, None] - centres[None]).sum(axis=2).min(axis=1).max() < 1.5
+    whole = cluster.mini_batches([rows], centres)
+    assert np.allclose(whole, cluster.kmeans(rows, 3, 2, init=centres, rounds=1))
+    assert np.allclose(cluster.mini_batches([rows, rows.limit(0)], centres), whole)
+
+
+def test_centroids_in_parts(spark, monkeypatch):
+    """More centroids than one broadcast holds give the same buckets and routes."""
+    rng = np.random.default_rng(3)
+    cents = frame(spark, [(i, rng.normal(size=4), int(rng.integers(1, 50))) for i in range(40)], CEN)
+    rows = frame(spark, [(i, rng.normal(size=4)) for i in range(100)], VEC).selectExpr("*", "id * 2 as other")
+    ask = frame(spark, [(i, rng.normal(size=4)) for i in range(9)], ASK)
+
+    def results(metric):
+        placed = sorted(map(tuple, routing.place(rows, cents, 4, metric, apart=7).select("id", "other", "bucket_id", "distance").collect()))
+        routes = sorted((r["query_id"], r["bucket_id"], r["place"], r["near"], round(r["share"], 9)) for r in routing.select_buckets(ask, cents, 4, metric, 0.7, 1.0, 10.0).collect())
+        return placed, routes
+
+    once = [results(m) for m in ("L2", "COSINE")]
+    monkeypatch.setattr(routing, "BROADCAST_BYTES", 4 * 8 * 9)
+    assert [results(m) for m in ("L2", "COSINE")] == once
+    assert all(b != 7 and other == 2 * i for i, other, b, _ in once[0][0])
+
+
+def test_quantisers_of_large_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i % 4, [float(x) for x in rng.normal(size=3).round(1)]) for i in range(1500)] + [(9, [1.0, 2.0, 3.0])], "bucket_id int, embedding array<float>")
+    rounded = lambda: sorted((r["bucket_id"], *(tuple(np.round(r[c], 9)) for c in ("low", "high", "step"))) for r in sq8.train(rows, 3).collect())
+    once = rounded()
+    monkeypatch.setattr(sq8, "WHOLE", 100)
+    assert rounded() == once and len(once) == 5
+
+
+def test_quantisers_joined_to_the_codes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, i % 5, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id long, bucket_id int, embedding array<float>")
+    quantizers = sq8.train(rows, 4)
+    coded = rows.join(quantizers, "bucket_id").select("id", "bucket_id", sq8.encode("embedding", "low", "step").alias("codes"))
+    ask = rows.where("id < 5").selectExpr("id as query_id", "embedding")
+    found = lambda **o: [sorted(map(tuple, search.knn_codes(coded, quantizers, ask, 7, 4, m, **o).collect())) for m in ("L2", "COSINE")]
+    once = found()
+    assert found(tables=True) == once
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert found() == once
+
+
+def test_routes_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = spark.createDataFrame([(i, i % 6, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id long, bucket_id int, embedding array<float>")
+    ask = rows.where("id < 20").selectExpr("id as query_id", "embedding")
+    routes = spark.createDataFrame([(q, b) for q in range(20) for b in range(6) if (q + b) % 3], "query_id long, bucket_id int")
+    found = lambda: sorted(map(tuple, search.knn(rows, ask, 5, 4, routes=routes).collect()))
+    once = found()
+    x = {r["id"]: np.array(r["embedding"]) for r in rows.collect()}
+    for q in (0, 7):
+        near = sorted((round(float(((x[q] - x[i]) ** 2).sum()), 9), i) for i in x if (q + i % 6) % 3)[:5]
+        assert [(i, round(s, 6)) for a, _, i, s in once if a == q] == [(i, round(s, 6)) for s, i in near]
+    monkeypatch.setattr(search, "ROUTE_PAIRS", 10)
+    assert found() == once
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    assert found() == once
+
+
+def test_percentiles_of_ranges(spark):
+    rng = np.random.default_rng(11)
+    values = [("a", float(v)) for v in rng.normal(size=500).round(2)] + [("b", 3.0)] * 7 + [("c", -1.0), ("c", None)]
+    found = {r["g"]: (r["n"], r["value"]) for p in [0.95] for r in evaluate.percentile_floor(spark.createDataFrame(values, "g string, v double"), "g", "v", p).collect()}
+    a = sorted(v for g, v in values if g == "a")
+    assert found == {"a": (500, a[475]), "b": (7, 3.0), "c": (1, -1.0)}
+    for p in (0.0, 0.5, 1.0):
+        row = evaluate.percentile_floor(spark.createDataFrame(values, "g string, v double"), "g", "v", p).where("g = 'a'").first()
+        assert row["value"] == a[min(int(500 * p), 499)]
+
+
+def test_columns_of_row_groups(spark):
+    rows = spark.createDataFrame([(i, i % 3, [float(i), -float(i)]) for i in range(100)], "id long, bucket_id int, embedding array<double>")
+    cols = maintain.columns(rows, most=10)
+    assert cols.count() >= 2 * 3 * 3 and cols.agg({"values": "max"}).count() == 1
+    assert max(len(r["values"]) for r in cols.collect()) < 34
+    assert {r["id"]: list(r["embedding"]) for r in maintain.rows_of(cols).collect()} == {i: [float(i), -float(i)] for i in range(100)}
 
 
 def test_log(spark):
@@ -187,3 +284,54 @@ def test_queue_cache():
     assert cache.rejected == 1 and not cache.get("once")
     cache.put("once")
     assert cache.get("once") and len(cache) == 10
+
+
+def twice(cache, keys):
+    for k in keys:
+        cache.put(k)
+        cache.put(k)
+
+
+def test_a_ghost_returns_to_the_main_queue():
+    cache = QueueCache(10)
+    cache.put(999)
+    twice(cache, range(15))
+    assert 999 in cache.ghost and not cache.get(999)
+    cache.put(999)
+    assert 999 in cache.main and cache.get(999) and cache.ghost_hits == 1
+
+
+def test_used_keys_outlive_others():
+    cache = QueueCache(10)
+    cache.put("hot"), cache.get("hot"), cache.get("hot")
+    for i in range(1, 11):
+        cache.put(i) if len(cache) < 10 else twice(cache, [i])
+    assert cache.get("hot") and "hot" in cache.main
+
+
+def test_the_small_queue_grows_with_a_ghost():
+    cache = QueueCache(100)
+    cache.put(1)
+    for i in range(2, 102):
+        cache.put(i), cache.put(i)
+    assert not cache.get(1)
+    cache.put(1)
+    assert cache.target == 11
+
+
+def test_evictions_one_by_one():
+    """Where eviction starts is decided once; used keys move on within it and lower no target."""
+    cache = QueueCache(4)  # target 1
+    for k in "abcd":
+        cache.put(k)
+    for k in "abc":
+        cache.get(k)
+    cache.put("e"), cache.put("e")  # a, b and c are used and move on; d is the first that isn't
+    assert list(cache.main) == ["a", "b", "c"] and list(cache.small) == ["e"] and list(cache.ghost) == ["d"] and cache.target == 1
+    cache.put("d")  # a ghost: the small queue has its share, so the main queue gives up its oldest
+    assert cache.target == 1 and list(cache.main) == ["b", "c", "d"] and list(cache.small) == ["e"]
+    one = QueueCache(1)
+    twice(one, "xyz")
+    assert len(one) == 1
+    with pytest.raises(ValueError):
+        QueueCache(0)

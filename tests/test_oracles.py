@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from vecmesh.operators import oplog
 from vecmesh.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -53,5 +54,14 @@ def test_queue_cache_counts(spark):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 200
+    asking = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert entry.entry(spark).count() == 10 * asking
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_checksums_of_frames(spark):
+    import zlib
+
+    rows = spark.createDataFrame([(1, "INSERT", None, 7, [0.5, 2.0]), (2, "BEGIN", 3, None, None)], "seq long, kind string, tx_id long, id long, embedding array<double>")
+    found = [r["crc"] for r in oplog.with_checksum(rows).orderBy("seq").collect()]
+    assert found == [zlib.crc32(b"1|INSERT||7|0.5,2.0"), zlib.crc32(b"2|BEGIN|3||")]

@@ -46,7 +46,7 @@ ALIVE, SEVENTH = np.ones(N, bool), np.arange(N) % 7 == 0
 ])
 def test_all_ask(spark, table, name, rows, keep, metric):
     d, x = table
-    found = {(r["query_id"], r["rank"], r["id"]) for r in QUERIES[f"{name}_all"](spark, d).collect()}
+    found = {(r["query_id"], r["rank"], r["id"]) for r in QUERIES[name](spark, d).collect()}
     assert found == expected(x, rows(x) if rows else x, keep, metric)
 
 
@@ -54,15 +54,15 @@ def test_range_in_blocks(spark, table, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 10)
     d, x = table
     scores = block_scores("L2", x[::100], x)
-    found = {(r["query_id"], r["id"]) for r in QUERIES["range_search_all"](spark, d).collect()}
+    found = {(r["query_id"], r["id"]) for r in QUERIES["range_search"](spark, d).collect()}
     assert found == {(int(q) * 100, int(i)) for q, i in zip(*np.nonzero(scores <= 1.5))}
 
 
-@pytest.mark.parametrize("name", ["select_buckets", "guardrail_nearest3", "pruned_knn", "adc_topk_l2", "adc_topk_cosine", "two_stage_search", "recall_at_k"])
+@pytest.mark.parametrize("name", ["select_buckets", "guardrail_nearest3", "pruned_knn", "adc_topk_l2", "adc_topk_cosine", "two_stage_search", "recall_at_k", "collection_routed_search", "collection_two_stage"])
 def test_every_query_is_answered(spark, table, name, monkeypatch):
     """More than one block gives what one block does, for every asking row."""
     d, _ = table
-    rows = lambda: sorted(map(tuple, QUERIES[f"{name}_all"](spark, d).collect()))
+    rows = lambda: sorted(map(tuple, QUERIES[name](spark, d).collect()))
     once = rows()
     monkeypatch.setattr(search, "QUERY_BLOCK", 10)
     assert rows() == once and {r[0] for r in once} == set(range(0, N, 100))
@@ -70,6 +70,6 @@ def test_every_query_is_answered(spark, table, name, monkeypatch):
 
 def test_deleted_hits(spark, table):
     d, x = table
-    (row,) = QUERIES["deleted_hit_rate_all"](spark, d).collect()
+    (row,) = QUERIES["deleted_hit_rate"](spark, d).collect()
     truth = expected(x, x, ALIVE)
     assert (row["results"], row["deleted"]) == (len(truth), sum(i % 7 == 0 for _, _, i in truth))

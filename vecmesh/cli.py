@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None):
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, quiet: bool = False):
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("vecmesh").getOrCreate()
     engine = Engine(spark, args.root)
@@ -63,7 +63,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
             out = [r.asDict() for r in target.stats().orderBy("bucket_id").collect()]
         else:
             out = target.flush() if args.command == "flush" else target.maintain()
-    print(json.dumps(out))
+    if not quiet:
+        print(json.dumps(out))
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import matrix, vectors
@@ -12,6 +12,8 @@ from .metrics import doubles
 
 #: Ranges below this count as constant and get a step of 1.
 CONSTANT = 1e-6
+#: Rows of a bucket that one task takes whole.
+WHOLE = 100_000
 
 
 def ranges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,14 +28,34 @@ def ranges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame, dim: int) -> DataFrame:
-    """(bucket_id, low, high, step) for each bucket of rows (bucket_id, embedding); a bucket's size is bounded by its capacity."""
+    """(bucket_id, low, high, step) for each bucket of rows (bucket_id, embedding).
+
+    A bucket of up to WHOLE rows is one task's work; of larger ones each dimension is sorted, on disk if need be.
+    """
 
     def one(table: pa.Table) -> pa.Table:
         low, high, step = ranges(matrix(table.column("embedding"), dim))
         return pa.table({"bucket_id": table.column("bucket_id").slice(0, 1), **{k: vectors(v[None, :]) for k, v in (("low", low), ("high", high), ("step", step))}})
 
-    kind = rows.schema["bucket_id"].dataType.simpleString()
-    return rows.select("bucket_id", "embedding").groupBy("bucket_id").applyInArrow(one, f"bucket_id {kind}, low array<double>, high array<double>, step array<double>")
+    rows = rows.select("bucket_id", "embedding")
+    kind = f"bucket_id {rows.schema['bucket_id'].dataType.simpleString()}, low array<double>, high array<double>, step array<double>"
+    large = rows.groupBy("bucket_id").agg(F.count("*").alias("__n")).where(F.col("__n") > WHOLE)
+    if large.isEmpty():
+        return rows.groupBy("bucket_id").applyInArrow(one, kind)
+    few = rows.join(large, "bucket_id", "left_anti").groupBy("bucket_id").applyInArrow(one, kind)
+    return few.unionByName(_by_rank(rows.join(large, "bucket_id")))
+
+
+def _by_rank(rows: DataFrame) -> DataFrame:
+    """train() of rows (bucket_id, embedding, __n) by row numbers."""
+    drop = F.when(F.col("__n") >= 100, F.floor(F.col("__n") / 100)).otherwise(F.lit(0))
+    flat = rows.select("bucket_id", drop.alias("drop"), "__n", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    rank = F.row_number().over(Window.partitionBy("bucket_id", "pos").orderBy("x"))
+    ends = flat.withColumn("rank", rank).where((F.col("rank") == F.col("drop") + 1) | (F.col("rank") == F.col("__n") - F.col("drop")))
+    ends = ends.groupBy("bucket_id", "pos").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    step = F.when(F.abs(F.col("high") - F.col("low")) < CONSTANT, F.lit(1.0)).otherwise((F.col("high") - F.col("low")) / 255.0)
+    packed = ends.groupBy("bucket_id").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high", step.alias("step")))).alias("p"))
+    return packed.select("bucket_id", *(F.col("p")[c].alias(c) for c in ("low", "high", "step")))
 
 
 def encode(embedding: Column | str, low: Column | str, step: Column | str) -> Column:
@@ -54,3 +76,8 @@ def lookup_table(query: np.ndarray, low: np.ndarray, step: np.ndarray) -> np.nda
 def lookup_distances(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Squared distances of a query's table to codes (rows, dim)."""
     return table[np.arange(table.shape[0])[None, :], codes].sum(axis=1)
+
+
+def lookup_scores(queries: np.ndarray, low: np.ndarray, step: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared distances (queries, rows) between queries and the values of a bucket's codes, by one table a query."""
+    return np.stack([lookup_distances(lookup_table(q, low, step), codes) for q in queries])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that a group is cut into.
+RANGES = 4096
+
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): the share of k true neighbours (query_id, id) that were found."""
@@ -26,11 +29,23 @@ def deleted_hits(found: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def percentile_floor(values: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """(group, n, value at place floor(n * p) in order, the last at most); places count from 0."""
-    order = Window.partitionBy(group).orderBy(value)
-    sizes = values.groupBy(group).agg(F.count(value).alias("n"))
-    ranked = values.where(F.col(value).isNotNull()).withColumn("__rn", F.row_number().over(order)).join(F.broadcast(sizes), group)
-    return ranked.where(F.col("__rn") == F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1).select(group, "n", F.col(value).alias("value"))
+    """(group, n, value at place floor(n * p) in order, the last at most); places count from 0.
+
+    Equal values are counted together and ranges of values are counted before any is sorted: the one range that holds
+    the place is sorted alone.
+    """
+    held = values.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    span = held.groupBy(group).agg(F.sum("__c").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    span = span.withColumn("__at", F.least(F.floor(F.col("n") * p), F.col("n") - 1))
+    width = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v").cast("double") - F.col("__lo")) / (F.col("__hi").cast("double") - F.col("__lo"))).otherwise(F.lit(0.0))
+    cells = held.join(span, group).withColumn("__cell", F.floor(width * RANGES).cast("int"))
+    sizes = cells.groupBy(group, "__cell").agg(F.sum("__c").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(group).orderBy("__cell")) - F.col("__size")
+    sizes = sizes.withColumn("__before", before).join(span.select(group, "__at"), group).where((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__before") + F.col("__size")))
+    inside = cells.join(sizes.select(group, "__cell", "__before"), [group, "__cell"])
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(group).orderBy("__v"))
+    found = inside.withColumn("__upto", upto).where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__c") <= F.col("__at")))
+    return found.select(group, "n", F.col("__v").alias("value"))
 
 
 def coverage(ids: DataFrame, mapping: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,13 @@ CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.
 QUANTIZERS = T.StructType([T.StructField("bucket_id", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("low", "high", "step"))])
 
 
+TOTALS = T.StructType([T.StructField("bucket_id", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class NotFound(LookupError):
     """No such collection."""
 
@@ -32,8 +39,14 @@ class InvalidInput(ValueError):
     """An argument that contradicts a collection or makes no sense."""
 
 
+def bad(dim: int) -> Column:
+    """Whether a row (id, embedding) lacks an id or `dim` numbers."""
+    wrong = F.col("id").isNull() | F.col("embedding").isNull() | (F.size("embedding") != dim) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.coalesce(wrong, F.lit(True))
+
+
 def checked(rows: DataFrame, dim: int, seen: Observation) -> DataFrame:
     """rows (id, embedding) as the engine stores them; `seen` tells their number n and how many of them are bad."""
-    bad = F.col("id").isNull() | F.col("embedding").isNull() | (F.size("embedding") != dim) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    wrong = bad(dim)
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.observe(seen, F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("int")).alias("bad"))
+    return rows.observe(seen, F.count("*").alias("n"), F.sum(wrong.cast("int")).alias("bad"))

@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only where it is unset and all run on this machine, as in tests, a temporary one for this application; on a
+    cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="vecmesh-checkpoint-")
+    return _own[context.applicationId]
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark._jvm
@@ -54,6 +80,36 @@ class Files:
         options[0] = rename.OVERWRITE
         context.rename(temporary, self._path(name), options)
 
+    def create(self, name: str, text: str = "") -> bool:
+        """Make a file that isn't there yet; False if it is. Of several that try, one succeeds."""
+        path = self._path(name)
+        if self.fs.getScheme() == "file":  # whose create isn't exclusive; a link is
+            target = path.toUri().getPath()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            own = f"{target}.{uuid.uuid4().hex}.new"
+            with open(own, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(own, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(own)
+            return True
+        try:
+            stream = self.fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def rename(self, name: str, to: str) -> None:
         """Move a file or folder to a name that isn't taken."""
         self.fs.mkdirs(self._path(to).getParent())

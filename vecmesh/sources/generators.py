@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _vector(dim: int, part) -> F.Column:
-    return F.array(*[part(i).cast("float") for i in range(dim)])
+def _unit(*key) -> Column:
+    """A number in (0, 1) from a hash, the same wherever and however often it is made."""
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 24)) + 0.5) / float(1 << 24)
+
+
+def _vector(dim: int, part) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: part(i).cast("float"))
 
 
 def uniform(spark: SparkSession, n: int, dim: int, seed: int = 42, high: float = 100.0, first: int = 0) -> DataFrame:
-    return spark.range(first, first + n).select("id", _vector(dim, lambda i: F.rand(seed + i) * high).alias("embedding"))
+    return spark.range(first, first + n).select("id", _vector(dim, lambda i: _unit("id", i, F.lit(seed)) * high).alias("embedding"))
 
 
 def clusters(spark: SparkSession, n: int, dim: int, centres: int = 5, sigma: float = 15.0, step: int = 0, seed: int = 999, first: int = 0) -> DataFrame:
     """Gaussian clusters whose centres, a hash of (cluster, dimension), move with `step`."""
     rows = spark.range(first, first + n).withColumn("c", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(centres)))
-    at = lambda i, salt: F.pmod(F.xxhash64("c", F.lit(i), F.lit(seed + salt)), F.lit(10_000)) / 10_000.0
-    return rows.select("id", _vector(dim, lambda i: at(i, 0) * 100 + (at(i, 1) - 0.5) * 5 * step + F.randn(seed + i + first) * sigma).alias("embedding"))
+
+    def part(i: Column) -> Column:
+        centre = _unit("c", i, F.lit(seed)) * 100 + (_unit("c", i, F.lit(seed + 1)) - 0.5) * 5 * step
+        gauss = F.sqrt(-2 * F.log(_unit("id", i, F.lit(seed + 2)))) * F.cos(2 * math.pi * _unit("id", i, F.lit(seed + 3)))
+        return centre + gauss * sigma
+
+    return rows.select("id", _vector(dim, part).alias("embedding"))
 
 
 def needles(spark: SparkSession, queries: DataFrame, each: int, reach: float = 0.005, seed: int = 42, first: int = 10_000_000) -> DataFrame:
