@@ -1,4 +1,8 @@
-"""Training-data pipeline over `documents`: each stage is one operator, written as Parquet and read by the next."""
+"""Training-data pipeline over `documents`: each stage is one operator, written as Parquet and read by the next.
+
+Null and empty texts are documents like any other, as are repeated rows, unless a stage says otherwise; further columns
+pass through all stages but the last, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,36 @@ from vecmesh.llm.entries import tokenizer
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score the quality threshold or more; labels train the trees, held-out ids excluded."""
+    """The documents that score the quality threshold or more; labels train the trees, held-out ids excluded.
+
+    Null and empty texts are scored as empty ones; without usable labels all documents score 0.5 and stay.
+    """
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs across documents."""
+    """All documents, without the lines whose template recurs across documents, and without long lines that do.
+
+    A document may lose all its lines; its row stays. Rows that repeat count as documents of their own.
+    """
     return line_dedup.remove(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
+    """One document of each group of similar ones, that of the least id; of repeated rows the first.
+
+    Documents without words, null texts included, are similar to nothing and all stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced; texts without any stay as they are, null ones null."""
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 ids."""
+    """Pieces of all documents in sequences of 2048 ids; a null or empty text is its end id alone."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
