@@ -58,12 +58,24 @@ def scratch(kept: list[DataFrame]):
         _scratch.reset(token)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def _few_files(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster works on at once, where adaptive execution wouldn't see to that."""
+    spark = df.sparkSession
+    on = lambda name: spark.conf.get(f"spark.sql.adaptive.{name}") == "true"
+    most = 2 * spark.sparkContext.defaultParallelism
+    if on("enabled") and on("coalescePartitions.enabled") or int(spark.conf.get("spark.sql.shuffle.partitions")) <= most:
+        return df
+    return df.repartition(most)
+
+
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors don't matter.
 
-    The table goes at the end of scratch(), or else when the driver's JVM ends.
+    The table goes at the end of scratch(), or else when the driver's JVM ends. small: it has a few bytes for each
+    text or vector, so it shouldn't be a file for each partition of an exchange.
     """
     spark = df.sparkSession
+    df = _few_files(df) if small else df
     path = f"{shared_dir(spark)}/vecmesh/{name}-{uuid.uuid4().hex}"
     own = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     smaller = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(own)} if 0 < own < BATCH_ROWS else {}
@@ -112,11 +124,6 @@ class Sieve:
         bit = keys & np.uint64(SIEVE_BITS - 1)
         return (self.send.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
-    def test(self, key: int) -> bool:
-        """passes() of one signed key."""
-        bit = key & (SIEVE_BITS - 1)
-        return bool(int(self.send.value[bit >> 6]) >> (bit & 63) & 1)
-
 
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have."""
@@ -173,13 +180,22 @@ def trim() -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with trim() when a task ends."""
+    """df.mapInArrow(run, schema), with trim() when a task ends that has read more than a slice."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+
         try:
-            yield from run(batches)
+            yield from run(counted())
         finally:
-            trim()
+            if seen > SLICE_BYTES:
+                trim()
 
     return df.mapInArrow(lean, schema)
 
@@ -286,17 +302,17 @@ def components(edges: DataFrame) -> DataFrame:
     sides are stored first, so that adaptive execution may split a hub's rows.
     """
     e = edges.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-    e = stored(mapped(e, _contract, "hi long, lo long").distinct(), "edges")
+    e = stored(mapped(e, _contract, "hi long, lo long").distinct(), "edges", small=True)
     while True:
         roots = e.groupBy("hi").agg(F.count("*").alias("n"))
         inner = e.select(F.col("lo").alias("hi")).distinct().join(e, "hi", "left_semi")
         if roots.where("n > 1").isEmpty() and inner.isEmpty():
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
-        low = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", small=True)
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large", small=True)
+        low = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "low", small=True)
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = stored(mapped(small.union(low.select("hi", "m")), _contract, "hi long, lo long").distinct(), "edges")
+        after = stored(mapped(small.union(low.select("hi", "m")), _contract, "hi long, lo long").distinct(), "edges", small=True)
         drop(e, least, large, low)
         e = after

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, mapped, sampled, stored
+from .common import components, forest, mapped, sampled, scratch, stored
 from .topk import padded
 
 THRESHOLD = 0.95
@@ -118,8 +118,18 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPRE
     with zeros. Repeated rows are rows of their own and link with each other. An empty table gives no rows. With a
     `spread` of sqrt(d) or more, no link is lost.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kept: list[DataFrame] = []
+    with scratch(kept):
+        marked, per_class = _labelled(vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), threshold, spread)
+        kept += [marked, per_class]
+    component = F.coalesce("c", "id")
+    out = marked.select("id", "mark").join(per_class, "mark", "left")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _labelled(rows: DataFrame, threshold: float, spread: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, v), as stored tables: their classes (id, mark, ...) and what these link with (mark, n, c)."""
+    spark = rows.sparkSession
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
     dim = -(-max(dim, 1) // SUBSPACE) * SUBSPACE
 
@@ -141,7 +151,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPRE
     reps = stored(reps, "classes")
     n = reps.count()
     if not n:
-        return marked.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return marked, stored(marked.limit(0).select("mark", F.lit(0).cast("long").alias("n"), F.col("id").alias("c")), "labels", small=True)
     lists = min(MOST_LISTS, max(1, n // LIST_ROWS))
     most = max(SAMPLE_ROWS, ROWS_A_LIST * lists)
     sample = reps.where(sampled(most / n, "rep")).orderBy("rep").limit(2 * most).select("unit").toArrow()
@@ -206,10 +216,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, spread: float = SPRE
 
     keys = ["l", "m", "q"]
     found = probing.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(compare, "hi long, lo long, n long")
-    found = stored(found, "links")
+    found = stored(found, "links", small=True)
     counts = found.where("lo is null").groupBy(F.col("hi").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("lo is not null").select("hi", "lo")).withColumnRenamed("node", "rep")
     per_class = classes.join(counts, "rep", "left").join(joined, "rep", "left").select("mark", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = marked.select("id", "mark").join(per_class, "mark", "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return marked, stored(per_class, "labels", small=True)

@@ -73,7 +73,7 @@ def _leaves(least: int):
                         same.add(_hash("", *line.split()))
                 leaves += own
                 long += same
-            yield pa.RecordBatch.from_arrays([pa.array(leaves + long, pa.int64()), pa.array([False] * len(leaves) + [True] * len(long))], ["leaf", "long"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves + long, pa.int64()), pa.array([False] * len(leaves) + [True] * len(long), pa.bool_())], ["leaf", "long"])
 
     return run
 
@@ -88,18 +88,22 @@ def _lines(least: int, sieve: Sieve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = TokenTable()
         for part in text_slices(batches, "text"):
-            found: dict[tuple, list[int]] = {}
-            tokens: dict[tuple, list[int]] = {}
+            known: list[tuple] = []  # (row, place, leaf, tokens or, of a long line, None)
             for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
                 for k, line in enumerate(text.split("\n") if text else ()):
                     t = tokens_of(line)
-                    if len(t) >= least and sieve.test(leaf := _hash(str(len(t)), *t[:DEPTH])):
-                        key = (row, leaf, False, _hash(*t))
-                        found.setdefault(key, []).append(k)
-                        if key not in tokens:
-                            tokens[key] = [table[x] for x in t[DEPTH:]]
-                    if len(t) >= LONG_TOKENS and sieve.test(same := _hash("", *line.split())):
-                        found.setdefault((row, same, True, same), []).append(k)
+                    if len(t) >= least:
+                        known.append((row, k, _hash(str(len(t)), *t[:DEPTH]), t))
+                    if len(t) >= LONG_TOKENS:
+                        known.append((row, k, _hash("", *line.split()), None))
+            found: dict[tuple, list[int]] = {}
+            tokens: dict[tuple, list[int]] = {}
+            for n in np.flatnonzero(sieve.passes(np.array([x[2] for x in known], np.int64).view(np.uint64))).tolist():
+                row, k, leaf, t = known[n]
+                key = (row, leaf, False, _hash(*t)) if t else (row, leaf, True, leaf)
+                found.setdefault(key, []).append(k)
+                if t and key not in tokens:
+                    tokens[key] = [table[x] for x in t[DEPTH:]]
             rows, leaf, long, masked = zip(*found) if found else ((),) * 4
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, v)]), pa.int32()), pa.array(list(chain.from_iterable(v)), kind)) for v, kind in ((list(found.values()), pa.int32()), ([tokens.get(k, ()) for k in found], pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), lists[0], pa.array(leaf, pa.int64()), pa.array(long, pa.bool_()), pa.array(masked, pa.int64()), lists[1]], ["row", "lines", "leaf", "long", "masked", "tokens"])
@@ -124,41 +128,41 @@ def _recurring(source: DataFrame, least_docs: int, least_tokens: int, similar: f
     """recurring() of source (row, text)."""
     line = ["leaf", "masked"]
     busy = mapped(source.select("text"), _leaves(least_tokens), "leaf long, long boolean").groupBy("leaf", "long").count()
-    busy = stored(busy.where(F.col("count") >= F.when(F.col("long"), LONG_DOCS).otherwise(least_docs)).select("leaf", "long"), "busy")
+    busy = stored(busy.where(F.col("count") >= F.when(F.col("long"), LONG_DOCS).otherwise(least_docs)).select("leaf", "long"), "busy", small=True)
     held = mapped(source, _lines(least_tokens, Sieve(busy, "leaf")), "row long, lines array<int>, leaf long, long boolean, masked long, tokens array<long>")
     held = stored(held.join(busy, ["leaf", "long"]), "lines")
     masked = held.where("not long")
     distinct = masked.groupBy(*line).agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"))
     places = stored(distinct.select(*line, "docs", F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("place", "token")), "places")
     cell = ["leaf", "place", "token"]
-    fixed = stored(places.where("token is not null").groupBy(*cell).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select(*cell, F.xxhash64(*cell).alias("hash")), "fixed")
+    fixed = stored(places.where("token is not null").groupBy(*cell).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select(*cell, F.xxhash64(*cell).alias("hash")), "fixed", small=True)
     cells = places.join(fixed, cell, "left")
     # A field more may come as long as `spare` isn't 0.
     spare = F.floor((F.col("n") + DEPTH) * (1 - similar) + 1e-9) - (F.col("n") - F.count("hash"))
     template = cells.groupBy(*line, "n").agg(F.coalesce(F.bit_xor("hash"), F.lit(0)).alias("t"), spare.alias("spare")).where("spare >= 0").select(*line, "t", "spare")
-    template = stored(template, "templates")
+    template = stored(template, "templates", small=True)
     found = masked.join(template, line).select("leaf", "masked", "t", "spare", "row", "lines")
     same = held.where("long").select("leaf", "masked", F.col("masked").alias("t"), F.lit(-1).cast("long").alias("spare"), "row", "lines")
     found = stored(found.union(same), "found")
-    docs_of = stored(found.groupBy("leaf", "t", "spare", "row").agg(F.lit(1)).groupBy("leaf", "t", "spare").agg(F.count("*").alias("docs")), "docs")
+    docs_of = stored(found.groupBy("leaf", "t", "spare", "row").agg(F.lit(1)).groupBy("leaf", "t", "spare").agg(F.count("*").alias("docs")), "docs", small=True)
     sure = docs_of.where(F.col("docs") >= F.when(F.col("spare") < 0, LONG_DOCS).otherwise(least_docs))
     # One more field: a template is named by its hash without one token's; rare ones have fewer than least_docs rows each.
     open_ = template.where("spare > 0").select(*line, "t").join(cells.where("hash is not null").select(*line, "hash"), line).select("leaf", "t", "hash").distinct()
     wider = open_.select("leaf", "t", F.col("t").bitwiseXOR(F.col("hash")).alias("g")).union(docs_of.where("spare >= 0").select("leaf", "t", F.col("t").alias("g")))
-    wider = stored(wider.join(docs_of.where("spare >= 0").select("leaf", "t", (F.col("docs") >= least_docs).alias("sure")), ["leaf", "t"]), "wider")
+    wider = stored(wider.join(docs_of.where("spare >= 0").select("leaf", "t", (F.col("docs") >= least_docs).alias("sure")), ["leaf", "t"]), "wider", small=True)
     rare = wider.where("not sure").select("leaf", "t", "g")
     by_sure = wider.where("sure").select("leaf", "g").distinct()
     rows = found.where("spare >= 0").select("leaf", "t", "row").distinct().join(rare, ["leaf", "t"]).select("leaf", "g", "row").distinct()
     enough = rows.groupBy("leaf", "g").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "g")
-    enough = stored(by_sure.union(enough).distinct(), "enough")
+    enough = stored(by_sure.union(enough).distinct(), "enough", small=True)
     merged = rare.join(enough, ["leaf", "g"]).groupBy("leaf", "t").agg(F.min("g").alias("g"))
     group = sure.select("leaf", "t", F.col("t").alias("g")).union(merged)
-    group = stored(group, "groups")
+    group = stored(group, "groups", small=True)
     gone = found.join(group, ["leaf", "t"]).select("leaf", "g", "row", "lines")
     if keep_first:
         first = gone.groupBy("leaf", "g").agg(F.min(F.struct("row", F.array_min("lines").alias("line"))).alias("first"))
         gone = stored(gone, "gone")
-        gone = gone.join(stored(first, "first"), ["leaf", "g"]).select("row", F.when(F.col("row") == F.col("first.row"), F.filter("lines", lambda x: x != F.col("first.line"))).otherwise(F.col("lines")).alias("lines"))
+        gone = gone.join(stored(first, "first", small=True), ["leaf", "g"]).select("row", F.when(F.col("row") == F.col("first.row"), F.filter("lines", lambda x: x != F.col("first.line"))).otherwise(F.col("lines")).alias("lines"))
     return gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")).where(F.size("lines") > 0)
 
 
@@ -176,7 +180,7 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     kept: list[DataFrame] = []
     with scratch(kept):
         drop = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), **(defaults | options))
-        drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop")
+        drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop", small=True)
         kept.append(drop)
     rows = rows.join(drop.hint("merge"), F.col(row) == F.col(gone), "left").drop(row, gone)
     at, size = docs.columns.index(text), len(docs.columns)
