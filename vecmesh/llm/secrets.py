@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ _HINT = re.compile("pass|pwd|secret|token|key|auth|bearer|cred", re.IGNORECASE |
 #: log10 of the guesses from which a value is taken for a secret.
 LEAST_COST = 8.0
 
-# Common words of passwords and placeholders, most common first.
+# Common words of passwords and placeholders, put together for this scan, roughly most common first.
 WORDS = """
 password pass admin login welcome letmein qwerty monkey dragon master user test guest root secret changeme default
 example sample demo token key your my the here none null true false value string todo abc love hello sunshine
@@ -58,66 +60,91 @@ def _ranks() -> tuple[dict[str, float], int]:
     return {w: math.log10(i + 2) for i, w in enumerate(words)}, max(map(len, words))
 
 
-#: Rows of the usual keyboard; a walk goes along a row in either direction.
-ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_NEXT = {(a, b): step for row in ROWS for step in (1, -1) for a, b in zip(row[::step], row[::step][1:])}
+#: Rows of the usual keyboard, each a little to the right of the one above: a key touches two of the next row.
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _keyboard() -> dict[tuple[str, str], tuple[int, int]]:
+    """The direction of a step from one key to a neighbour."""
+    at = {c: (x, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+    return {(a, b): (x - u, y - v) for a, (u, v) in at.items() for b, (x, y) in at.items() if (x - u, y - v) in ((1, 0), (-1, 0), (0, 1), (0, -1), (-1, 1), (1, -1))}
+
+
+#: The two kinds of walks: over the keyboard, and along the alphabet.
+WALKS = (_keyboard(), {(a, b): step for step, order in ((1, ALPHABET), (-1, ALPHABET[::-1])) for a, b in zip(order, order[1:])})
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-#: log10 of: days in two centuries, years in them, the start of a walk, one more segment.
-DATE, YEAR, WALK, SEGMENT = math.log10(365 * 200), math.log10(200), math.log10(47 * 2), math.log10(2)
+_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+#: log10 of: days in two centuries, years in them, one more segment.
+DATE, YEAR, SEGMENT = math.log10(365 * 200), math.log10(200), math.log10(2)
+#: log10 of: a walk's first key and direction, each further key, each turn; and how many keys a walk has at least.
+WALK, STEP, TURN, LEAST_WALK = math.log10(47 * 6), math.log10(1.2), math.log10(5), 3
+#: The longest block that counts as a repeat when it comes again at once.
+PERIOD = 12
 
 
 def _alphabet(c: str) -> float:
     return math.log10(26 if c.isascii() and c.isalpha() else 10 if c.isascii() and c.isdigit() else 33 if c.isascii() else 1000)
 
 
-@lru_cache(maxsize=50_000)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation; 0 for an empty value. Time is linear in the length.
+def _lower(value: str) -> str:
+    return value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
+
+
+def segments(value: str, i: int, low: str, leet: str) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the listed words, dates and repeats that begin at i.
 
-    A segment is a listed word (also capitalised or with digits for letters), a date, a repeat of one character, a
-    keyboard walk of three or more, or a brute-force span, which pays for each character, as letters that no list
-    holds do. Every segment after the first costs a factor of 2 more.
+    A word may be capitalised or have digits for letters. A repeat is one character three times or more, or a block
+    of up to PERIOD characters twice or more, from where its run begins; it costs its block and their number.
     """
     n = len(value)
     ranks, longest = _ranks()
-    low = value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
+    for j in range(i + 3, min(n, i + longest) + 1):
+        if (rank := ranks.get(low[i:j])) is not None:
+            yield j, rank + (0.0 if value[i:j] == low[i:j] else SEGMENT)
+        elif (rank := ranks.get(leet[i:j])) is not None:
+            yield j, rank + 2 * SEGMENT
+    if value[i].isdigit() and (m := _DATE.match(value, i)):
+        yield m.end(), YEAR if m.end() - i == 4 else DATE
+    for p in range(1, min(PERIOD, (n - i) // 2) + 1):
+        if value[i] == value[i + p] and (i == 0 or value[i - 1] != value[i - 1 + p]) and value[i : i + p] == value[i + p : i + 2 * p]:
+            j, block = i + 2 * p, _alphabet(value[i]) if p == 1 else guess_cost(value[i : i + p])
+            while True:
+                if p > 1 or j - i > 2:
+                    yield j, block + math.log10((j - i) // p)
+                if value[j : j + p] != value[i : i + p]:
+                    break
+                j += p
+
+
+@lru_cache(maxsize=20_000)
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for the cheapest segmentation; 0 for an empty value. Time is linear in the length.
+
+    A segment is a listed word, a date, a repeat (see segments()), a walk of LEAST_WALK keys or more over neighbours
+    on the keyboard or in the alphabet, which pays for its turns, or a brute-force span, which pays for each
+    character, as letters that no list holds do. Every segment after the first costs a factor of 2 more.
+    """
+    n, low = len(value), _lower(value)
     leet = low.translate(_LEET)
     best, force = [math.inf] * (n + 1), [math.inf] * (n + 1)  # force: the last segment is a brute-force span
+    # For each kind: the last segment is a walk of 1, 2, ... or at least LEAST_WALK keys.
+    walks = [[[math.inf] * (n + 1) for _ in range(LEAST_WALK)] for _ in WALKS]
     best[0] = 0.0
-    dates = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates[i] = m.end()
     for i in range(n):
         start = best[i] + (SEGMENT if i else 0.0)
-
-        def reach(j: int, cost: float) -> None:
-            if start + cost < best[j]:
-                best[j] = start + cost
-
         force[i + 1] = min(force[i], start) + _alphabet(value[i])
-        best[i + 1] = min(best[i + 1], force[i + 1])
-        for j in range(i + 3, min(n, i + longest) + 1):
-            if (rank := ranks.get(low[i:j])) is not None:
-                reach(j, rank + (0.0 if value[i:j] == low[i:j] else SEGMENT))
-            elif (rank := ranks.get(leet[i:j])) is not None:
-                reach(j, rank + 2 * SEGMENT)
-        if i in dates:
-            reach(dates[i], YEAR if dates[i] - i == 4 else DATE)
-        if (i == 0 or value[i - 1] != value[i]) and i + 2 < n and value[i + 1] == value[i]:  # a repeat starts here
-            j = i + 1
-            while j < n and value[j] == value[i]:
-                j += 1
-                if j - i >= 3:
-                    reach(j, _alphabet(value[i]) + math.log10(j - i))
-        step = _NEXT.get((low[i], low[i + 1])) if i + 2 < n else None
-        if step and (i == 0 or _NEXT.get((low[i - 1], low[i])) != step):  # a walk starts here
-            j = i + 2
-            while j < n and _NEXT.get((low[j - 1], low[j])) == step:
-                j += 1
-                if j - i >= 3:
-                    reach(j, WALK + math.log10(j - i))
+        for walk, steps in zip(walks, WALKS):
+            walk[0][i + 1] = start + WALK
+            if i and (step := steps.get((low[i - 1], low[i]))) is not None:
+                turned = TURN if i > 1 and steps.get((low[i - 2], low[i - 1])) != step else 0.0
+                for k in range(1, LEAST_WALK):
+                    walk[k][i + 1] = walk[k - 1][i] + STEP + (turned if k > 1 else 0.0)
+                walk[-1][i + 1] = min(walk[-1][i + 1], walk[-1][i] + STEP + turned)
+        best[i + 1] = min(best[i + 1], force[i + 1], *(walk[-1][i + 1] for walk in walks))
+        start = best[i] + (SEGMENT if i else 0.0)
+        for j, cost in segments(value, i, low, leet):
+            best[j] = min(best[j], start + cost)
     return best[n]
 
 
@@ -139,12 +166,11 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     spans += [("hex", *m.span(), 0.0) for m in HEX.finditer(text)]
     if hinted:
         base = sorted((a, b) for _, a, b, _ in spans)
+        reach = [0, *accumulate((b for _, b in base), max)]  # how far the first k of them go
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
-            if (cost := guess_cost(value)) < LEAST_COST:
-                continue
             a, b = m.start(1), m.start(1) + len(value)
-            if not any(x < b and a < y for x, y in base):
+            if reach[bisect_left(base, (b, 0))] <= a and (cost := guess_cost(value)) >= LEAST_COST:
                 spans.append(("guess", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -166,7 +192,10 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, spans array<struct<kind, start, end, cost>>) for every row of docs, repeated rows included."""
+    """Rows (id, spans array<struct<kind, start, end, cost>>) for every row of docs, repeated rows included.
+
+    Texts that are null or empty have an empty array; an empty table gives no rows.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +207,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """docs with the secrets of its texts replaced and, if it has one, its length column counted anew."""
+    """docs with the secrets of its texts replaced and, if it has one, its length column counted anew.
+
+    Texts without secrets stay as they are, also null and empty ones; all rows stay, repeated ones included.
+    """
     at = docs.columns.index(text)
     count = docs.columns.index(length) if length in docs.columns else None
     schema = docs.schema
