@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mapped, mix64, numbered, stored, text_bytes, text_slices
+from .common import Sieve, fresh, mapped, mix64, numbered, scratch, stored, text_bytes, text_slices
 from .shingles import SLICE_BYTES, powers
 from .windows import anchors, prefix_hashes, substring_hashes
 
@@ -170,16 +170,21 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _grams(window: int, gram: int, full: bool):
+def _grams(window: int, gram: int, sieve: Sieve | None = None):
+    """The hashes of all anchors' grams; with a sieve, the anchors and contexts of those that it passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             raw, offsets = text_bytes(part.column("text"))
             prefix = prefix_hashes(raw)
             text, anchor, first, last = anchors(prefix, offsets, window, gram)
-            grams = pa.array(substring_hashes(prefix, anchor, anchor + gram).view(np.int64))
-            if not full:
-                yield pa.RecordBatch.from_arrays([grams], ["gram"])
+            names = substring_hashes(prefix, anchor, anchor + gram)
+            if sieve is None:
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], ["gram"])
                 continue
+            some = np.flatnonzero(sieve.passes(names))
+            text, anchor, first, last = (x[some] for x in (text, anchor, first, last))
+            grams = pa.array(names[some].view(np.int64))
             context = mix64(substring_hashes(prefix, first, last + window) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             rows = part.column("row").to_numpy()[text]
             base = offsets[text]
@@ -267,7 +272,7 @@ def _by_counting(parts: DataFrame, window: int) -> DataFrame:
     key = ["gram", "block", "core"]
     blocks = stored(mapped(parts, _window_blocks(window), "gram long, block int, core long, low int, hashes array<long>, row long, anchor int").withColumn("all", F.xxhash64("low", "hashes")), "blocks")
     kinds = blocks.groupBy(*key, "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "anchor")).alias("one"), F.first("low").alias("low"), F.first("hashes").alias("hashes"))
-    kinds = stored(kinds, "kinds")
+    kinds = stored(kinds, "kinds", small=True)
     again = kinds.where("n > 1").select(*key, "all")
     at, size = F.col("anchor") - F.col("low"), F.size("hashes")
     whole = blocks.where("row is not null").join(again, [*key, "all"], "left_semi").select("row", (at - size + 1).cast("long").alias("start"), (at + window).cast("long").alias("end"))
@@ -290,13 +295,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str =
 def _repeats(source: DataFrame, window: int, gram: int) -> DataFrame:
     """repeats() of source (row, text)."""
     # Sides aggregated by a join's own key are stored first, so that adaptive execution may split a hot key's rows.
-    shared = stored(mapped(source.select("text"), _grams(window, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    shared = stored(mapped(source.select("text"), _grams(window, gram), "gram long").groupBy("gram").count().where("count > 1").select("gram"), "grams", small=True)
     kind = "gram long, context long, row long, anchor int, first int, last int"
-    held = stored(mapped(source, _grams(window, gram, True), kind).join(shared, "gram"), "anchors")
+    held = stored(mapped(source, _grams(window, gram, Sieve(shared, "gram")), kind).join(shared, "gram"), "anchors")
     contexts = stored(held.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "anchor", "first", "last")).alias("one")), "contexts")
     whole = held.join(contexts.where("copies > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     whole = whole.select("row", F.col("first").cast("long").alias("start"), (F.col("last") + window).cast("long").alias("end"))
-    kinds = stored(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    kinds = stored(contexts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several", small=True)
     open_ = contexts.join(kinds, "gram").select("one.row", F.struct("gram", "copies", "kinds", "one.anchor", "one.first", "one.last").alias("f"))
     found = open_.groupBy("row").agg(F.collect_list("f").alias("found"))  # as many as the row's text has anchors
     packed = mapped(source, _packed, "row long, n long, packed binary")
@@ -337,6 +342,9 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: s
             n, removed, spans, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())], [id_column, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = stored(_repeats(names.select("row", "text"), window, gram), "spans")
+    kept: list[DataFrame] = []
+    with scratch(kept):
+        spans = stored(_repeats(names.select("row", "text"), window, gram), "spans")
+        kept.append(spans)
     packed = mapped(names, pack, f"id {kind}, row long, n long, packed binary")
     return mapped(packed.join(spans, "row", "left").select("id", "n", "packed", "spans"), cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
