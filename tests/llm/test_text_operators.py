@@ -103,6 +103,17 @@ def test_ngram_join_of_many_unlike_sets_with_a_common_token(spark, tmp_path, mon
     assert rows_of(entries.op1_ngram_join(spark, str(tmp_path)), "doc_id", "component_id") == sorted(group.items(), key=repr)
 
 
+def test_copies_are_spared(spark):
+    """A passage goes from other texts; a text that it is most of stays whole for near-copy removal, if so asked."""
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    other = helpers.prose(9, 300).replace("\n", " ")
+    texts = [passage, passage + "\nend", "start\n" + passage + "\n" + other, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.remove(docs, spare_copies=True).collect()}
+    assert found == {0: passage, 1: passage + "\nend", 2: "start\n" + other, 3: None}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove(docs).collect()}[1] == "end"
+
+
 def test_small_tables_are_few_files(spark):
     rows = spark.range(5000).selectExpr("id * 7 % 5000 as k").groupBy("k").count()
     values = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}

@@ -121,11 +121,12 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int =
     empty have none; rows that repeat are documents of their own. `row` is that of numbered().
     """
     row = fresh(docs, "row")
-    return _recurring(numbered(docs, row).select(F.col(row).alias("row"), F.col(text).alias("text")), least_docs, least_tokens, similar, keep_first)
+    found = _recurring(numbered(docs, row).select(F.col(row).alias("row"), F.col(text).alias("text")), least_docs, least_tokens, similar, keep_first)
+    return found.select("row", F.array_union("lines", "long").alias("lines"))
 
 
 def _recurring(source: DataFrame, least_docs: int, least_tokens: int, similar: float, keep_first: bool) -> DataFrame:
-    """recurring() of source (row, text)."""
+    """recurring() of source (row, text), long lines apart: (row, lines, long)."""
     line = ["leaf", "masked"]
     busy = mapped(source.select("text"), _leaves(least_tokens), "leaf long, long boolean").groupBy("leaf", "long").count()
     busy = stored(busy.where(F.col("count") >= F.when(F.col("long"), LONG_DOCS).otherwise(least_docs)).select("leaf", "long"), "busy", small=True)
@@ -158,29 +159,31 @@ def _recurring(source: DataFrame, least_docs: int, least_tokens: int, similar: f
     merged = rare.join(enough, ["leaf", "g"]).groupBy("leaf", "t").agg(F.min("g").alias("g"))
     group = sure.select("leaf", "t", F.col("t").alias("g")).union(merged)
     group = stored(group, "groups", small=True)
-    gone = found.join(group, ["leaf", "t"]).select("leaf", "g", "row", "lines")
+    gone = found.join(group, ["leaf", "t"]).select("leaf", "g", "row", "lines", (F.col("spare") < 0).alias("same"))
     if keep_first:
         first = gone.groupBy("leaf", "g").agg(F.min(F.struct("row", F.array_min("lines").alias("line"))).alias("first"))
         gone = stored(gone, "gone")
-        gone = gone.join(stored(first, "first", small=True), ["leaf", "g"]).select("row", F.when(F.col("row") == F.col("first.row"), F.filter("lines", lambda x: x != F.col("first.line"))).otherwise(F.col("lines")).alias("lines"))
-    return gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines")).where(F.size("lines") > 0)
+        gone = gone.join(stored(first, "first", small=True), ["leaf", "g"]).select("row", "same", F.when(F.col("row") == F.col("first.row"), F.filter("lines", lambda x: x != F.col("first.line"))).otherwise(F.col("lines")).alias("lines"))
+    all_of = lambda kind: F.array_distinct(F.flatten(F.collect_list(F.when(kind, F.col("lines")))))
+    return gone.groupBy("row").agg(all_of(~F.col("same")).alias("lines"), all_of(F.col("same")).alias("long")).where(F.size("lines") + F.size("long") > 0)
 
 
-def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars", counts: bool = False, **options) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars", counts: bool = False, spare_copies: bool = False, **options) -> DataFrame:
     """docs, columns as they were, without the recurring lines of its texts; its length column, if any, counted anew.
 
     Texts without such lines stay as they are, also null and empty ones; no row is left out, and an empty table stays
-    empty. counts adds columns n_lines and n_dropped, in place of columns of these names.
+    empty. counts adds columns n_lines and n_dropped, in place of columns of these names. spare_copies leaves the long
+    lines of a text that they are most of: it is a copy rather than a text with a passage, for others to judge whole.
     """
     if counts:
         docs = docs.drop("n_lines", "n_dropped")
-    row, gone, lines = (fresh(docs, c) for c in ("row", "gone", "lines"))
+    row, gone, lines, long = (fresh(docs, c) for c in ("row", "gone", "lines", "long"))
     rows = numbered(docs, row)
     defaults = {"least_docs": LEAST_DOCS, "least_tokens": LEAST_TOKENS, "similar": SIMILAR, "keep_first": True}
     kept: list[DataFrame] = []
     with scratch(kept):
         drop = _recurring(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), **(defaults | options))
-        drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines)), "drop", small=True)
+        drop = stored(drop.select(F.col("row").alias(gone), F.col("lines").alias(lines), F.col("long").alias(long)), "drop", small=True)
         kept.append(drop)
     rows = rows.join(drop.hint("merge"), F.col(row) == F.col(gone), "left").drop(row, gone)
     at, size = docs.columns.index(text), len(docs.columns)
@@ -192,9 +195,11 @@ def remove(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
         for part in text_slices(batches, text):
             old, columns = part.column(at).to_pylist(), list(part.columns[:size])
             new, sizes, fewer = [], [], []
-            for value, own in zip(old, part.column(size).to_pylist()):
+            for value, own, same in zip(old, part.column(size).to_pylist(), part.column(size + 1).to_pylist()):
                 gone = set(own or ())
                 parts = value.split("\n") if value else []
+                if same and not (spare_copies and 2 * sum(len(parts[k]) for k in same) > len(value)):
+                    gone.update(same)
                 new.append("\n".join([p for k, p in enumerate(parts) if k not in gone]) if gone else value)
                 sizes.append(len(parts)), fewer.append(len(gone))
             columns[at] = pa.array(new, part.schema.field(at).type)
