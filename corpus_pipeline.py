@@ -24,9 +24,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs across documents, and without long lines that do.
 
-    A document may lose all its lines; its row stays. Rows that repeat count as documents of their own.
+    A document of which such long lines are most is a copy; it stays whole for the next stage, which drops copies.
+    Rows that repeat count as documents of their own; no row is left out.
     """
-    return line_dedup.remove(docs)
+    return line_dedup.remove(docs, spare_copies=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
