@@ -1,9 +1,11 @@
 """Small literal cases of the engine's operators, with the outcomes they must have."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecmesh.functions import metrics, sq8
+from vecmesh.functions.arrow import vectors
 from vecmesh.operators import cluster, evaluate, maintain, oplog, routing, search
 from vecmesh.operators.caches import QueueCache
 
@@ -168,6 +170,37 @@ def test_quantisers_of_large_buckets(spark, monkeypatch):
     assert rounded() == once and len(once) == 5
 
 
+def exchanged(spark, job):
+    """What job() gives, and the rows that its stages wrote for exchanges."""
+    sc, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    found = job()
+    return found, sum(n for stage, n in written().items() if stage not in before)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_large_buckets_exchange_counts_alone(spark, monkeypatch, tmp_path, kind):
+    """The rows of a large bucket stay where they are, whatever their number: task memory doesn't follow the bucket's size."""
+    monkeypatch.setattr(sq8, "WHOLE", 1000)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60_000, 3)) * 10.0 ** rng.integers(-30, 30, size=(60_000, 1))
+    x[:40_000, 1], x[::2, 2] = -0.0, 5.0
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    made = spark.createDataFrame(pa.table({"bucket_id": pa.array((np.arange(len(x)) % 2).astype(np.int32)), "embedding": vectors(x)}))
+    made.selectExpr("bucket_id", f"cast(embedding as array<{kind}>) as embedding").repartition(4).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    found, n = exchanged(spark, lambda: sq8.train(rows, 3).collect())
+    for r in found:
+        assert all((np.array(r[c]) == w).all() for c, w in zip(("low", "high", "step"), sq8.ranges(x[r["bucket_id"] :: 2])))
+    assert sorted(r["bucket_id"] for r in found) == [0, 1] and n < len(x)
+
+
 def test_quantisers_joined_to_the_codes(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = spark.createDataFrame([(i, i % 5, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "id long, bucket_id int, embedding array<float>")

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from vecmesh.functions import sq8
 from vecmesh.operators import oplog
 from vecmesh.plans.catalog import QUERIES, SQL
 
@@ -45,6 +46,15 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["collection_after_maintenance"])
+def test_oracle_with_large_buckets(spark, duck, monkeypatch, name):
+    """The same where a bucket's ranges aren't one task's work."""
+    monkeypatch.setattr(sq8, "WHOLE", 100)
+    found, expected = QUERIES[name](spark, DATA), duck.execute(SQL[name])
+    columns = [c[0] for c in expected.description]
+    assert plain([tuple(r) for r in found.collect()], found.columns) == plain(expected.fetchall(), columns)
+
+
 def test_queue_cache_counts(spark):
     found = QUERIES["queue_cache_trace"](spark, DATA).collect()
     assert sum(r["requests"] for r in found) == spark.read.parquet(f"{DATA}/events.parquet").count()

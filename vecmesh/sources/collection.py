@@ -405,7 +405,7 @@ class Collection:
         rows.select("id", "seq", "embedding", "bucket_id").hint("rebalance", "bucket_id").write.partitionBy("bucket_id").parquet(f"{self.path}/rows/part={n}")
         written = self._parts("rows", BASE, State(parts=(n,)))
         known = self.quantizers(state.snapshot) if state.parts else self.quantizers(0)
-        fresh = sq8.train(written.join(known.select("bucket_id"), "bucket_id", "left_anti"), self.dim)  # known: a row a bucket
+        fresh = sq8.train(written.join(F.broadcast(known.select("bucket_id")), "bucket_id", "left_anti"), self.dim)  # known: a row a bucket
         known.unionByName(fresh).write.parquet(f"{self.path}/snapshots/{n}/quantizers")
         coded = written.join(self.quantizers(n), "bucket_id").select("id", "seq", sq8.encode("embedding", "low", "step").alias("codes"), "bucket_id")
         coded.write.partitionBy("bucket_id").parquet(f"{self.path}/codes/part={n}")
