@@ -46,7 +46,7 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["collection_after_maintenance", "collection_as_of", "collection_log_sizes", "collection_reopened", "streaming_ingest", "collection_search"])
+@pytest.mark.parametrize("name", ["collection_after_maintenance", "collection_as_of", "collection_log_sizes", "collection_reopened", "streaming_ingest", "collection_search", "collection_trained"])
 def test_oracle_with_large_buckets(spark, duck, monkeypatch, name):
     """The same where a bucket's ranges aren't one task's work."""
     monkeypatch.setattr(sq8, "WHOLE", 100)
