@@ -5,9 +5,13 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from vecmesh.functions import sq8
+from vecmesh.functions.arrow import vectors
 from vecmesh.operators import oplog
 from vecmesh.plans.catalog import QUERIES, SQL
 
@@ -55,6 +59,40 @@ def test_oracle_with_large_buckets(spark, duck, monkeypatch, name):
     assert plain([tuple(r) for r in found.collect()], found.columns) == plain(expected.fetchall(), columns)
 
 
+def most_read(spark, job):
+    """The most rows that a task of job() read from exchanges."""
+    sc, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()) for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    job()
+    read = [t.taskMetrics() for s in stages() - before for found in [sc.statusStore().taskList(*s, 10_000)] for t in map(found.apply, range(found.size()))]
+    return max(m.get().shuffleReadMetrics().recordsRead() for m in read if m.isDefined())
+
+
+@pytest.mark.parametrize("name", ["collection_as_of"])
+def test_no_task_takes_a_large_bucket(spark, monkeypatch, tmp_path, name):
+    """A flush's one bucket is dealt over tasks all the way, so that a task's memory doesn't follow its size."""
+    monkeypatch.setattr(sq8, "WHOLE", 100)
+    x = np.random.default_rng(13).normal(size=(8000, 2))
+    made = pa.table({"vec_id": np.arange(len(x)), "embedding": vectors(x).cast(pa.list_(pa.float32())), "label": (np.arange(len(x)) % 10).astype(np.int32)})
+    os.makedirs(f"{tmp_path}/embeddings.parquet")
+    pq.write_table(made, f"{tmp_path}/embeddings.parquet/part.parquet")
+    few = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    once = {k: spark.conf.get(k, None) for k in few}
+    for k, v in few.items():
+        spark.conf.set(k, v)
+    try:
+        assert most_read(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect()) < len(x) / 2
+    finally:
+        for k, v in once.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_queue_cache_counts(spark):
     found = QUERIES["queue_cache_trace"](spark, DATA).collect()
     assert sum(r["requests"] for r in found) == spark.read.parquet(f"{DATA}/events.parquet").count()
