@@ -74,7 +74,7 @@ def most_read(spark, job):
     return max(m.get().shuffleReadMetrics().recordsRead() for m in read if m.isDefined())
 
 
-@pytest.mark.parametrize("name", ["collection_as_of", "collection_log_sizes", "collection_reopened", "streaming_ingest", "collection_search"])
+@pytest.mark.parametrize("name", ["collection_as_of", "collection_log_sizes", "collection_reopened", "streaming_ingest", "collection_search", "collection_trained"])
 def test_no_task_takes_a_large_bucket(spark, monkeypatch, tmp_path, name):
     """A flush's one bucket is dealt over tasks all the way, so that a task's memory doesn't follow its size."""
     monkeypatch.setattr(sq8, "WHOLE", 100)
